@@ -124,9 +124,9 @@ def sel_phrase2(s: SparkSession, d: str) -> DataFrame:
     return _scores(select(index(s, d), "of the"))
 
 
-@query(_phrase_sql(["of", "the", "of"]))
+@query(_phrase_sql(["the", "the", "the"]))
 def sel_phrase3(s: SparkSession, d: str) -> DataFrame:
-    return _scores(select(index(s, d), "of the of"))
+    return _scores(select(index(s, d), "the the the"))
 
 
 @query(f"WITH {TOK}, {TF} SELECT rid, arg_min(tf, first_pos)::BIGINT AS score FROM tf WHERE starts_with(term, 'thi') GROUP BY rid")
@@ -134,10 +134,10 @@ def sel_prefix(s: SparkSession, d: str) -> DataFrame:
     return _scores(select(index(s, d), "thi", "prefix"))
 
 
-@query(f"WITH {TOK}, {TF} SELECT rid, arg_min(tf, first_pos)::BIGINT AS score FROM tf WHERE suffix(term, 'ré') GROUP BY rid")
+@query(f"WITH {TOK}, {TF} SELECT rid, arg_min(tf, first_pos)::BIGINT AS score FROM tf WHERE suffix(term, 'éré') GROUP BY rid")
 def sel_suffix(s: SparkSession, d: str) -> DataFrame:
     ix = TextIndex.build(sections(table(s, d, "documents"), "doc_id", ["text"]), linked_suffixes=True)
-    return _scores(select(ix, "ré", "suffix"))
+    return _scores(select(ix, "éré", "suffix"))
 
 
 @query(f"WITH {TOK} SELECT rid, 1 AS sid, pos::INTEGER AS pos, 1::BIGINT AS score FROM tok WHERE term = 'der'")
