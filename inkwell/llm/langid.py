@@ -175,7 +175,7 @@ class Model:
         """(rows x languages log probabilities, words of each row)."""
         starts, lens, inv, row, sums = distinct_words(buf, off)
         n = len(off) - 1
-        if not len(starts):
+        if not len(starts) or not self.languages:
             return np.zeros((n, len(self.languages))), np.zeros(n, np.int64)
         order = np.argsort(lens, kind="stable")
         log = np.zeros((len(starts), len(self.languages)))

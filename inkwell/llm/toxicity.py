@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's score is a logistic function of
-its words' weights; a document's is the noisy-or of its sentences,
+its words' weights, and 0 if none of its words has a weight, so that length
+alone adds nothing; a document's is the noisy-or of its sentences,
 1 - prod(1 - p). Weights are trained from document labels alone, through the
 noisy-or, with an L1 penalty; the sentence scores then locate what offends.
 
@@ -45,7 +46,7 @@ class Model:
 
 
 def _bags(buf: np.ndarray, off: np.ndarray, table: tv.TermTable) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, sentence number within the slice, feature) of the known words, and ends of all sentences with a word, as (row, sentence)."""
+    """(row of each word, its sentence's number within the slice, which words are known, feature of each word)."""
     starts, ends = tv.word_spans(buf, off)
     terms = (tv.span_hash(tv.prefix_hash(buf), starts, ends) >> np.uint64(64 - tv.TERM_BITS)).astype(np.int64)
     stop = np.cumsum(_END[buf])
@@ -56,27 +57,22 @@ def _bags(buf: np.ndarray, off: np.ndarray, table: tv.TermTable) -> tuple[np.nda
     return row, sent, known, got
 
 
-def _sentence_scores(buf: np.ndarray, off: np.ndarray, model: Model, table: tv.TermTable) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, sentence, prob) of sentences with a weighted word; number of other sentences with a word per row."""
+def _sentence_scores(buf: np.ndarray, off: np.ndarray, model: Model, table: tv.TermTable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, sentence, prob) of sentences with a weighted word."""
     row, sent, known, got = _bags(buf, off, table)
-    n = len(off) - 1
-    new = np.concatenate(([True], sent[1:] != sent[:-1])) if len(sent) else np.empty(0, bool)
-    count = np.bincount(row[new], minlength=n)
     e = np.empty(0, np.int64)
     if not len(known):
-        return e, e, np.empty(0), count
+        return e, e, np.empty(0)
     s, inv = np.unique(sent[known], return_inverse=True)
     z = np.bincount(inv, model.weights[got[known]]) + model.bias
     srow = np.zeros(len(s), np.int64)
     srow[inv] = row[known]
-    return srow, s, 1 / (1 + np.exp(-np.clip(z, -50, 50))), count - np.bincount(srow, minlength=n)
+    return srow, s, 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
 def document_scores(buf: np.ndarray, off: np.ndarray, model: Model, table: tv.TermTable) -> np.ndarray:
-    row, _, p, others = _sentence_scores(buf, off, model, table)
-    p0 = 1 / (1 + np.exp(-model.bias))
-    log_not = np.bincount(row, np.log1p(-np.minimum(p, 1 - 1e-12)), len(off) - 1) + others * np.log1p(-p0)
-    return -np.expm1(log_not)
+    row, _, p = _sentence_scores(buf, off, model, table)
+    return -np.expm1(np.bincount(row, np.log1p(-np.minimum(p, 1 - 1e-12)), len(off) - 1))
 
 
 def fit(texts: pa.Array, toxic: np.ndarray, seed: int = 3) -> Model:
@@ -104,12 +100,10 @@ def fit(texts: pa.Array, toxic: np.ndarray, seed: int = 3) -> Model:
     if not len(vocab):
         return Model(np.empty(0, np.int64), np.empty(0), -12.0, 0.5)
     table = tv.TermTable(vocab)
-    doc, sent, feat, others = [], [], [], np.zeros(len(toxic))
+    doc, sent, feat = [], [], []
     last = 0
-    for lo, hi, buf, off in tv.slices(texts):
+    for lo, _, buf, off in tv.slices(texts):
         row, s, known, got = _bags(buf, off, table)
-        new = np.concatenate(([True], s[1:] != s[:-1])) if len(s) else np.empty(0, bool)
-        others[lo:hi] = np.bincount(row[new], minlength=hi - lo)
         doc.append(row[known] + lo)
         sent.append(s[known] + last)
         feat.append(got[known])
@@ -118,7 +112,6 @@ def fit(texts: pa.Array, toxic: np.ndarray, seed: int = 3) -> Model:
     sid, inv = np.unique(sent, return_inverse=True)
     sdoc = np.zeros(len(sid), np.int64)
     sdoc[inv] = doc
-    others -= np.bincount(sdoc, minlength=len(toxic))
     weight_of = np.where(toxic > 0, 0.5 / max(toxic.sum(), 1), 0.5 / max((1 - toxic).sum(), 1)) * ~held
     w, bias = np.zeros(len(vocab)), -7.0
     rate = (a[keep] + 0.5) / n1 / ((b[keep] + 0.5) / n0)
@@ -128,8 +121,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, seed: int = 3) -> Model:
     def scores() -> tuple[np.ndarray, np.ndarray]:
         z = np.bincount(inv, w[feat], len(sid)) + bias
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        log_not = np.bincount(sdoc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(toxic)) + others * np.log1p(-1 / (1 + np.exp(-bias)))
-        return p, -np.expm1(log_not)
+        return p, -np.expm1(np.bincount(sdoc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(toxic)))
 
     for step in range(1, ROUNDS + 1):
         p, doc_p = scores()
@@ -138,8 +130,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, seed: int = 3) -> Model:
         up = weight_of * np.where(toxic > 0, (1 - doc_p) / doc_p, -1.0)
         gz = -up[sdoc] * p
         g = np.bincount(feat, gz[inv], len(vocab))
-        p0 = 1 / (1 + np.exp(-bias))
-        gb = gz.sum() - (up * others).sum() * p0
+        gb = gz.sum()
         rate = 0.1 * (1 - step / (ROUNDS + 1))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -211,7 +202,7 @@ def located(buf: np.ndarray, model: Model, table: tv.TermTable) -> list[dict]:
     off = np.array([0, len(buf)])
     starts, _ = tv.word_spans(buf, off)
     sent = np.cumsum(_END[buf])[starts]
-    _, s, p, _ = _sentence_scores(buf, off, model, table)
+    _, s, p = _sentence_scores(buf, off, model, table)
     if not len(s):
         return []
     take = np.flatnonzero(p >= 0.5)
