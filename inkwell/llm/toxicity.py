@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's score is a logistic function of
-its words' weights, and 0 if none of its words has a weight, so that length
+the weights of its words and word beginnings, and 0 if none has a weight, so that length
 alone adds nothing; a document's is the noisy-or of its sentences,
 1 - prod(1 - p). Weights are trained from document labels alone, through the
 noisy-or, with an L1 penalty; the sentence scores then locate what offends.
@@ -27,6 +27,8 @@ from inkwell.llm.storage import prepare
 TRAIN_TOXIC, TRAIN_CLEAN = 5000, 5000
 #: A word must be in so many toxic training documents to get a weight.
 LEAST_DOCS = 3
+#: Lengths in bytes of the word beginnings that are features beside the words.
+STEMS = (4, 5, 6)
 L1 = 2e-4
 ROUNDS = 250
 _END = np.zeros(256, bool)
@@ -45,28 +47,42 @@ class Model:
         return tv.TermTable(self.terms)
 
 
-def _bags(buf: np.ndarray, off: np.ndarray, table: tv.TermTable) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row of each word, its sentence's number within the slice, which words are known, feature of each word)."""
+def _features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(feature, which word it is of): each word, and its first bytes where it is longer, so that inflected forms share a feature."""
+    sums = tv.prefix_hash(buf)
+    shift = np.uint64(64 - tv.TERM_BITS)
+    got = [(tv.span_hash(sums, starts, ends) >> shift).astype(np.int64)]
+    who = [np.arange(len(starts))]
+    for n in STEMS:
+        long = np.flatnonzero(ends - starts > n)
+        h = tv.mix(tv.span_hash(sums, starts[long], starts[long] + n) + np.uint64(n))
+        got.append((h >> shift).astype(np.int64))
+        who.append(long)
+    return np.concatenate(got), np.concatenate(who)
+
+
+def _bags(buf: np.ndarray, off: np.ndarray, table: tv.TermTable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, sentence number within the slice, feature) of each known feature of each word."""
     starts, ends = tv.word_spans(buf, off)
-    terms = (tv.span_hash(tv.prefix_hash(buf), starts, ends) >> np.uint64(64 - tv.TERM_BITS)).astype(np.int64)
-    stop = np.cumsum(_END[buf])
-    row = np.searchsorted(off, starts, side="right") - 1
-    sent = (stop[starts] if len(starts) else np.empty(0, np.int64)) + row  # a row's end ends a sentence too
+    terms, who = _features(buf, starts, ends)
     got = table.find(terms)
     known = np.flatnonzero(got >= 0)
-    return row, sent, known, got
+    at = starts[who[known]]
+    row = np.searchsorted(off, at, side="right") - 1
+    sent = np.cumsum(_END[buf])[at] + row if len(at) else np.empty(0, np.int64)  # a row's end ends a sentence too
+    return row, sent, got[known]
 
 
 def _sentence_scores(buf: np.ndarray, off: np.ndarray, model: Model, table: tv.TermTable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, sentence, prob) of sentences with a weighted word."""
-    row, sent, known, got = _bags(buf, off, table)
+    row, sent, got = _bags(buf, off, table)
     e = np.empty(0, np.int64)
-    if not len(known):
+    if not len(got):
         return e, e, np.empty(0)
-    s, inv = np.unique(sent[known], return_inverse=True)
-    z = np.bincount(inv, model.weights[got[known]]) + model.bias
+    s, inv = np.unique(sent, return_inverse=True)
+    z = np.bincount(inv, model.weights[got]) + model.bias
     srow = np.zeros(len(s), np.int64)
-    srow[inv] = row[known]
+    srow[inv] = row
     return srow, s, 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
@@ -84,7 +100,11 @@ def fit(texts: pa.Array, toxic: np.ndarray, seed: int = 3) -> Model:
     # candidates: words of toxic training documents that clean ones have less often
     tox_t, clean_t = [], []
     for lo, hi, buf, off in tv.slices(texts):
-        r, t, _ = tv.counted(*tv.words(buf, off))
+        starts, ends = tv.word_spans(buf, off)
+        t, who = _features(buf, starts, ends)
+        r = np.searchsorted(off, starts, side="right")[who] - 1
+        order = np.argsort(r, kind="stable")
+        r, t, _ = tv.counted(t[order], np.searchsorted(r[order], np.arange(hi - lo + 1)))
         y, h = toxic[lo:hi][r] > 0, held[lo:hi][r]
         tox_t.append(t[y & ~h])
         clean_t.append(t[~y & ~h])
@@ -103,10 +123,10 @@ def fit(texts: pa.Array, toxic: np.ndarray, seed: int = 3) -> Model:
     doc, sent, feat = [], [], []
     last = 0
     for lo, _, buf, off in tv.slices(texts):
-        row, s, known, got = _bags(buf, off, table)
-        doc.append(row[known] + lo)
-        sent.append(s[known] + last)
-        feat.append(got[known])
+        row, s, got = _bags(buf, off, table)
+        doc.append(row + lo)
+        sent.append(s + last)
+        feat.append(got)
         last += int(s.max(initial=0)) + 1
     doc, sent, feat = np.concatenate(doc), np.concatenate(sent), np.concatenate(feat)
     sid, inv = np.unique(sent, return_inverse=True)
