@@ -91,31 +91,33 @@ def document_scores(buf: np.ndarray, off: np.ndarray, model: Model, table: tv.Te
     return -np.expm1(np.bincount(row, np.log1p(-np.minimum(p, 1 - 1e-12)), len(off) - 1))
 
 
+def _distinct(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Features of each document, each once, slice by slice."""
+    for lo, hi, buf, off in tv.slices(texts):
+        starts, ends = tv.word_spans(buf, off)
+        t, who = _features(buf, starts, ends)
+        row = np.searchsorted(off, starts, side="right")[who] - 1
+        order = np.argsort(row, kind="stable")
+        yield tv.counted(t[order], np.searchsorted(row[order], np.arange(hi - lo + 1)))[1]
+
+
 def fit(texts: pa.Array, toxic: np.ndarray, seed: int = 3) -> Model:
     """Trains on lower-cased texts with 0/1 labels; a quarter is held out for the threshold. Without both classes nothing is toxic."""
     toxic = np.asarray(toxic, float)
     if toxic.sum() < 2 or toxic.sum() > len(toxic) - 2:
         return Model(np.empty(0, np.int64), np.empty(0), -12.0, 0.5)
     held = np.random.default_rng(seed).random(len(toxic)) < 0.25
-    # candidates: words of toxic training documents that clean ones have less often
-    tox_t, clean_t = [], []
-    for lo, hi, buf, off in tv.slices(texts):
-        starts, ends = tv.word_spans(buf, off)
-        t, who = _features(buf, starts, ends)
-        r = np.searchsorted(off, starts, side="right")[who] - 1
-        order = np.argsort(r, kind="stable")
-        r, t, _ = tv.counted(t[order], np.searchsorted(r[order], np.arange(hi - lo + 1)))
-        y, h = toxic[lo:hi][r] > 0, held[lo:hi][r]
-        tox_t.append(t[y & ~h])
-        clean_t.append(t[~y & ~h])
-    term, a = np.unique(np.concatenate(tox_t), return_counts=True)
-    cterm, c = np.unique(np.concatenate(clean_t), return_counts=True)
-    b = np.zeros(len(term))
-    at = np.minimum(np.searchsorted(cterm, term), max(len(cterm) - 1, 0))
-    if len(cterm):
-        b = np.where(cterm[at] == term, c[at], 0)
+    # candidates: features of toxic training documents that clean ones have less often
+    parts = [t for t in _distinct(texts.filter(pa.array((toxic > 0) & ~held)))]
+    term, a = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.int64), np.empty(0, np.int64))
     n1, n0 = max(toxic[~held].sum(), 1), max((1 - toxic[~held]).sum(), 1)
-    keep = (a >= min(LEAST_DOCS, n1)) & ((a + 0.5) / n1 > 2 * (b + 0.5) / n0)
+    often = a >= min(LEAST_DOCS, n1)
+    term, a, b = term[often], a[often], np.zeros(int(often.sum()))
+    table = tv.TermTable(term)
+    for t in _distinct(texts.filter(pa.array((toxic == 0) & ~held))):
+        got = table.find(t)
+        b += np.bincount(got[got >= 0], minlength=len(b))
+    keep = (a + 0.5) / n1 > 2 * (b + 0.5) / n0
     vocab = term[keep]
     if not len(vocab):
         return Model(np.empty(0, np.int64), np.empty(0), -12.0, 0.5)
