@@ -50,7 +50,7 @@ def grams(terms: np.ndarray) -> np.ndarray:
 
 def split_item(text: str) -> tuple[str, str]:
     """(question, answer)."""
-    parts = [p for p in re.split(r"(?<=[.?!])\s+|\n+", text.strip()) if re.search(r"\w", p)]
+    parts = [p for p in re.split(r"(?<=[.?!])\s+|\n+", text.strip()) if len(_words(p))]
     if len(parts) > 1:
         return " ".join(parts[:-1]), parts[-1]
     w = text.split()
@@ -59,7 +59,7 @@ def split_item(text: str) -> tuple[str, str]:
 
 
 def _words(text: str) -> np.ndarray:
-    low = lower_text(pa.array([text]))
+    low = lower_text(pa.array([text], pa.string()))
     return next(tv.words(buf, off)[0] for _, _, buf, off in tv.slices(low))
 
 
@@ -188,7 +188,7 @@ def indexes(items: DataFrame, retrieve: float = RETRIEVE, limit: int = INDEX_BYT
 
 
 def hits(docs: DataFrame, items: DataFrame, retrieve: float = RETRIEVE, overlap: float = OVERLAP) -> DataFrame:
-    """One row for each document and test item found in it.
+    """One row for each document and test item found in it; scores are rounded to 6 places.
 
     Null and empty texts and items match nothing; a null doc_id or item_id is
     reported as null. Rows that repeat an id are looked at each and give equal
@@ -208,7 +208,7 @@ def hits(docs: DataFrame, items: DataFrame, retrieve: float = RETRIEVE, overlap:
                 rows = []
                 for lo, _, buf, off in tv.slices(lower_text(b.column(1))):
                     for (row, item), got in sorted(ix.verified(*tv.words(buf, off), overlap).items()):
-                        rows.append((ids[lo + row], ix.ids[item], *got))
+                        rows.append((ids[lo + row], ix.ids[item], got[0], round(got[1], 6), *got[2:]))
                 yield pa.RecordBatch.from_pylist(
                     [dict(zip(("doc_id", "item_id", "passage", "score", "question_overlap", "answer_overlap"), r)) for r in rows],
                     pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("passage", pa.int32()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]),
@@ -238,3 +238,32 @@ def clean(docs: DataFrame, items: DataFrame, retrieve: float = RETRIEVE, overlap
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
+
+
+def sql() -> str:
+    """DuckDB SQL of ``hits`` over documents and benchmark: every passage is scored against every item."""
+    words = lambda x: f"regexp_extract_all(lower({x}), '{tv.WORD_RE}')"
+    return f"""
+WITH i0 AS (SELECT row_number() OVER () AS iid, item_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS x, {words("text")} AS w FROM benchmark WHERE text IS NOT NULL),
+i1 AS (SELECT *, list_filter(regexp_split_to_array(x, '[.?!]\\s+|\\n+'), lambda p: len({words("p")}) > 0) AS parts, regexp_split_to_array(x, '\\s+') AS sp FROM i0 WHERE len(w) > 0),
+i2 AS (SELECT *, CASE WHEN len(parts) > 1 THEN array_to_string(parts[:len(parts) - 1], ' ') ELSE array_to_string(sp[:len(sp) - greatest(1, len(sp) // 4)], ' ') END AS qt,
+  CASE WHEN len(parts) > 1 THEN parts[len(parts)] ELSE array_to_string(sp[len(sp) - greatest(1, len(sp) // 4) + 1:], ' ') END AS anst FROM i1),
+item AS (SELECT iid, item_id, w, {words("qt")} AS q, {words("anst")} AS a FROM i2),
+n AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS mean, greatest({STRIDE}, max(len(w)))::BIGINT AS stride FROM item),
+it AS (SELECT iid, t, count(*)::DOUBLE AS tf FROM (SELECT iid, unnest(w) AS t FROM item) GROUP BY iid, t),
+df AS (SELECT t, count(*)::DOUBLE AS df FROM it GROUP BY t),
+raw AS (SELECT iid, t, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * ({K1} + 1) / (tf + {K1} * (1 - {B} + {B} * len(w) / mean)) AS x FROM it JOIN df USING (t) JOIN item USING (iid), n),
+wt AS (SELECT iid, t, x / sum(x) OVER (PARTITION BY iid) AS x FROM raw),
+d AS (SELECT row_number() OVER () AS did, doc_id, {words("text")} AS w FROM documents WHERE text IS NOT NULL),
+tok AS (SELECT did, unnest(w) AS t, unnest(range(len(w))) // stride AS u FROM d, n),
+pas AS (SELECT DISTINCT did, u AS p, t FROM tok UNION SELECT DISTINCT did, u - 1, t FROM tok WHERE u > 0),
+sc AS (SELECT did, p, iid, sum(x) AS score FROM pas JOIN wt USING (t) GROUP BY did, p, iid HAVING sum(x) >= {RETRIEVE} - 1e-9),
+c AS (SELECT sc.*, d.doc_id, d.w[p * stride + 1:(p + 2) * stride] AS seen, item.item_id, item.q, item.a FROM sc JOIN d USING (did) JOIN item USING (iid), n),
+g AS (SELECT *, list_transform(range(1, len(seen) - 1), lambda k: seen[k] || ' ' || seen[k + 1] || ' ' || seen[k + 2]) AS three,
+  list_distinct(CASE WHEN len(q) < 3 THEN q ELSE list_transform(range(1, len(q) - 1), lambda k: q[k] || ' ' || q[k + 1] || ' ' || q[k + 2]) END) AS qg,
+  list_distinct(CASE WHEN len(a) < 3 THEN a ELSE list_transform(range(1, len(a) - 1), lambda k: a[k] || ' ' || a[k + 1] || ' ' || a[k + 2]) END) AS ag FROM c),
+o AS (SELECT did, iid, doc_id, item_id, p, score,
+  CASE WHEN len(qg) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(qg, lambda z: list_contains(CASE WHEN len(q) < 3 THEN seen ELSE three END, z)))::DOUBLE / len(qg) END AS qo,
+  CASE WHEN len(ag) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(ag, lambda z: list_contains(CASE WHEN len(a) < 3 THEN seen ELSE three END, z)))::DOUBLE / len(ag) END AS ao FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY did, iid ORDER BY qo + ao DESC, p) AS rn FROM o WHERE least(qo, ao) >= {OVERLAP})
+SELECT doc_id, item_id, p::INTEGER AS passage, round(score, 6) AS score, qo AS question_overlap, ao AS answer_overlap FROM r WHERE rn = 1"""

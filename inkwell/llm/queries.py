@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk_search": topk.sql(), "op10_sharding": sharding.sql()}
+    return {"op2_decontamination": decontam.sql(), "op5_topk_search": topk.sql(), "op10_sharding": sharding.sql()}

@@ -4,7 +4,9 @@ import math
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -89,3 +91,15 @@ def test_split_and_grams():
     assert decontam.split_item("one two three four") == ("one two three", "four")
     assert len(decontam.grams(np.arange(5))) == 3
     assert len(decontam.grams(np.arange(2))) == 2
+
+
+def test_equals_sql(spark):
+    docs, items = corpus(9)
+    items[3] = (3, items[3][1].split(". ")[0])  # one sentence
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    con.register("benchmark", pd.DataFrame(items, columns=["item_id", "text"]))
+    want = con.execute(decontam.sql()).df().sort_values(["doc_id", "item_id"])
+    got = decontam.hits(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).toPandas().sort_values(["doc_id", "item_id"])
+    assert got.to_numpy().tolist() == want[got.columns].to_numpy().tolist()
+    assert len(got) >= 29
