@@ -1,7 +1,7 @@
 """Near-duplicate removal: SimHash fingerprints, covering locality-sensitive hashing.
 
 A fingerprint has ``PARTS`` words of 64 bits; each distinct term of a document
-votes on each bit with weight 1 + floor(log2(occurrences)). For one word and
+has one vote on each bit. For one word and
 radius rho, bit i gets a random vector m(i) of rho+1 bits, and for every
 nonzero v there is a table keyed by the bits with <m(i), v> odd. The m(i) of at
 most rho differing bits span less than the whole space, so some v is orthogonal
@@ -27,7 +27,7 @@ from inkwell.llm.storage import Written, prepare
 PARTS = 4
 RHO = 4
 RADIUS = PARTS * (RHO + 1) - 1
-ACCEPT = 40
+ACCEPT = 38
 _ALL_PAIRS = 24  # runs of equal keys up to this size are compared pair by pair
 
 
@@ -46,21 +46,17 @@ def fingerprints(column: pa.Array, parts: int = PARTS) -> tuple[np.ndarray, np.n
     got, there = [], []
     for lo, hi, buf, off in tv.slices(column):
         n = hi - lo
-        row, term, tf = tv.counted(*tv.words(buf, off))
+        row, term, _ = tv.counted(*tv.words(buf, off))
         first = np.searchsorted(row, np.arange(n + 1))
         has = np.diff(first) > 0
         fp = np.zeros((n, parts), np.uint64)
         if has.any():
-            weight = (1 + np.floor(np.log2(tf))).astype(np.int32)
-            at = first[:-1][has]
-            half = np.add.reduceat(weight, at)
-            heavy = np.flatnonzero(weight > 1)
+            at, size = first[:-1][has], np.diff(first)[has]
             for p in range(parts):
                 h = tv.mix(term.astype(np.uint64) * np.uint64(2 * p + 3) + np.uint64(0x51ED270B * (p + 1)))
                 bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
-                bits[heavy] *= np.minimum(weight[heavy], 255).astype(np.uint8)[:, None]
                 votes = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
-                fp[has, p] = np.packbits(votes * 2 > half[:, None], axis=1).view(np.uint64).ravel()
+                fp[has, p] = np.packbits(votes * 2 > size[:, None], axis=1).view(np.uint64).ravel()
         got.append(fp)
         there.append(has)
     if not got:
