@@ -3,24 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_left: list[tuple[SparkSession, str]] = []
-
+from inkwell.sources.store import remove, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset, as in tests, a folder of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="inkwell-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at
+_left: list[tuple[SparkSession, str]] = []
 
 
 def prepare(spark: SparkSession) -> None:
@@ -45,21 +35,16 @@ class Written:
         return self.spark.read.parquet(self.path)
 
     def drop(self) -> None:
-        _delete(self.spark, self.path)
+        remove(self.spark, self.path)
         if (self.spark, self.path) in _left:
             _left.remove((self.spark, self.path))
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 @atexit.register
 def _clean() -> None:
     for spark, path in _left:
         if spark.sparkContext._jsc is not None:
             try:
-                _delete(spark, path)
+                remove(spark, path)
             except Exception:  # the session may be gone at exit
                 return
