@@ -19,6 +19,7 @@ from inkwell.operators.tokenize import Tokenizer, delimited, runs
 from inkwell.plans import qparse as Q
 from inkwell.plans.qcompile import search
 from inkwell.plans.qscan import scan
+from inkwell.plans.qsnippet import query_snippet
 from inkwell.sources import tsv
 
 _ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,13 +223,24 @@ def q_default_op(s: SparkSession, d: str) -> DataFrame:
     return _found(s, d, "*D+ the of and")
 
 
-@query(f"""WITH {TOK}, {TF} SELECT rid, (3 * tf)::BIGINT AS score, 1::BIGINT AS n_subrecs FROM tf WHERE term = 'src3' AND FALSE
-UNION ALL SELECT doc_id, 2, 1 FROM documents WHERE source = 'src3'""")
+@query(f"""WITH {TOK}, {TF}, hit AS (SELECT rid, 2 * tf AS score FROM tf WHERE term = 'the' UNION ALL SELECT doc_id, 7 FROM documents WHERE source = 'the')
+SELECT rid, sum(score)::BIGINT AS score, count(*)::BIGINT AS n_subrecs FROM hit GROUP BY rid""")
 def q_section_weight(s: SparkSession, d: str) -> DataFrame:
+    ix = TextIndex.of_columns(table(s, d, "documents"), "doc_id", ["text", "source"])
+    return _scores(search(ix, "*W1:2,2:7 the"), "n_subrecs")
+
+
+@query("SELECT doc_id AS rid, 2::BIGINT AS score, 1::BIGINT AS n_subrecs FROM documents WHERE source = 'src3'")
+def q_section_excluded(s: SparkSession, d: str) -> DataFrame:
     ix = TextIndex.of_columns(table(s, d, "documents"), "doc_id", ["text", "source"])
     return _scores(search(ix, "*W2:2 src3"), "n_subrecs")
 
 
+@query(_phrase_sql(["of", "the"]).replace("count(*)::BIGINT AS score FROM st", "(5 * count(*))::BIGINT AS score FROM st"))
+def q_phrase(s: SparkSession, d: str) -> DataFrame:
+    return _found(s, d, '"of the"')
+
+
 @query(f"""WITH {TOK}, {TF}, e AS (SELECT rid, 5 * tf AS score FROM tf WHERE term = 'thou'), u AS (SELECT rid, 3 * arg_min(tf, first_pos) AS score FROM tf WHERE starts_with(term, 'thou') GROUP BY rid)
 SELECT rid, score::BIGINT AS score FROM e UNION ALL SELECT rid, score::BIGINT FROM u WHERE rid NOT IN (SELECT rid FROM e)""")
 def q_escalation(s: SparkSession, d: str) -> DataFrame:
@@ -503,7 +515,7 @@ def ngram_tokens(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def dict_scan(s: SparkSession, d: str) -> DataFrame:
-    keys = table(s, d, "nation").select(F.explode(F.array(*[F.lit(x) for x in ("thing", "heren", "tion of", "verkeit")])).alias("key")).distinct()
+    keys = s.createDataFrame([("thing",), ("heren",), ("tion of",), ("verkeit",)], "key string")
     return lexicon.dictionary_scan(table(s, d, "documents").select("doc_id", "text"), F.col("text"), keys).select("doc_id", "key", "offset", "length")
 
 
@@ -512,6 +524,11 @@ def snippet_kwic(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", snippet(F.col("text"), [("the", "[", "]"), ("der", "<", ">")], 80, 3).alias("snippets"))
 
 
+@query()
+def snippet_query(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", query_snippet(F.col("text"), "the +of -and", [("[", "]"), ("<", ">")], 80, 2).alias("snippets"))
+
+
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def load_tsv(s: SparkSession, d: str) -> DataFrame:
     at = fresh_path(s, "tsv")

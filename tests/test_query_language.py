@@ -157,3 +157,19 @@ def test_differential(spark, c1):
                 out = {d: s + {">": 6, "<": 4, "~": -1}[o] * hit.get(d, 0) for d, s in out.items()}
         text = "*E-1 " + " ".join(o + w for o, w in zip(ops, words))
         assert scores(search(c1, text)) == out, text
+
+
+def test_query_snippets(spark):
+    from pyspark.sql import functions as F
+
+    from inkwell.plans.qsnippet import query_snippet
+
+    df = spark.createDataFrame([("one two three four",)], "t string")
+    got = df.select(query_snippet(F.col("t"), "one -two three", [("<", ">"), ("[", "]")], 50, 1).alias("s")).first().s
+    assert got == ["<one> two[ three] four"]
+
+
+def test_info():
+    import inkwell
+
+    assert inkwell.info()["version"] == inkwell.__version__
