@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm import textvec as tv
@@ -249,11 +249,14 @@ def duplicates(docs: DataFrame, accept: int = ACCEPT, rho: int = RHO, parts: int
 
 
 def dedup(docs: DataFrame, accept: int = ACCEPT, rho: int = RHO, parts: int = PARTS) -> DataFrame:
-    """``docs`` with one document of each group; columns unchanged. Rows that repeat an id stay once."""
+    """``docs`` with one document of each group; columns unchanged. Of rows that repeat an id one stays, chosen by the hash of its text."""
     gone = Written(duplicates(docs, accept, rho, parts), "gone")
     kept = without_ids(docs, gone.df.select("doc_id"))
     again = Written(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     if again.df.isEmpty():
         return kept
-    ids = again.df
-    return without_ids(kept, ids).unionByName(kept.join(ids, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    ids, rank = again.df, "rank_"
+    while rank in docs.columns:
+        rank += "_"
+    some = kept.join(ids, "doc_id", "left_semi").withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
+    return without_ids(kept, ids).unionByName(some.where(F.col(rank) == 1).select(docs.columns))
