@@ -120,9 +120,11 @@ def select(index: TextIndex, text: str, mode: str = "exact", unit: str = "docume
             else:
                 hit = hit.groupBy("rid", "sid").agg(F.sum("tf").alias("tf"), F.sum("wsum").alias("wsum"), F.first("weight_").alias("weight_"))
         return _records(index, hit.select("rid", "sid", ((F.col("tf") + F.col("wsum")) * F.col("weight_")).alias("score")), unit)
-    # phrase: all tokens at one aligned start, counted by one aggregation whatever their number
-    place = hit.select("rid", "sid", "tok", "wsum", "weight_", F.explode("positions").alias("p_"), "off").withColumn("pos", F.col("p_") - F.col("off"))
-    start = place.groupBy("rid", "sid", "pos").agg(F.count_distinct("tok").alias("n_"), F.sum("wsum").alias("w_"), F.first("weight_").alias("weight_")).where(F.col("n_") == len(plan))
+    # phrase: all tokens at one aligned start, counted by aggregation whatever their number; partitioned by
+    # document first, which serves all groupings (and joins with other operands) with one exchange
+    place = hit.repartition("rid").select("rid", "sid", "tok", "wsum", "weight_", F.explode("positions").alias("p_"), "off").withColumn("pos", F.col("p_") - F.col("off"))
+    n_tokens = F.count("*") if all(how == "exact" for how, _, _ in plan) and not index.compat.overlap_values else F.count_distinct("tok")
+    start = place.groupBy("rid", "sid", "pos").agg(n_tokens.alias("n_"), F.sum("wsum").alias("w_"), F.first("weight_").alias("weight_")).where(F.col("n_") == len(plan))
     score = (F.col("w_") + 1) * F.col("weight_")
     if unit == "position":
         return _records(index, start.select("rid", "sid", "pos", score.alias("score")), unit)
@@ -158,7 +160,7 @@ def _near(hit: DataFrame, n: int, interval: int, aligned: bool) -> DataFrame:
     shift = F.col("off") if aligned else F.lit(0)
     lists = hit.withColumn("ps_", F.transform("positions", lambda p: p - shift))
     lists = lists.withColumn("ps_", F.filter("ps_", lambda p: p >= 0))
-    tok = lists.groupBy("rid", "sid", "tok").agg(F.flatten(F.collect_list("ps_")).alias("ps_"), F.first("weight_").alias("weight_"))
+    tok = lists.repartition("rid").groupBy("rid", "sid", "tok").agg(F.flatten(F.collect_list("ps_")).alias("ps_"), F.first("weight_").alias("weight_"))
     every = tok.groupBy("rid", "sid").agg(F.collect_list(F.struct("tok", "ps_")).alias("all_"), F.first("weight_").alias("weight_")).where(F.size("all_") == n)
 
     @F.pandas_udf("int")
@@ -171,10 +173,10 @@ def _near(hit: DataFrame, n: int, interval: int, aligned: bool) -> DataFrame:
 def near_hits(index: TextIndex, text: str, interval: int = 10) -> DataFrame:
     """(rid, sid) in which all tokens stand within ``interval`` of each other: the relational form of near2, without counts."""
     plan = _plan(index, text, "exact")
-    place = _tokens_hit(index, plan).select("rid", "sid", "tok", F.explode("positions").alias("pos"))
+    place = _tokens_hit(index, plan).repartition("rid").select("rid", "sid", "tok", F.explode("positions").alias("pos"))
     w = Window.partitionBy("rid", "sid").orderBy("pos").rangeBetween(0, interval)
     seen = place.withColumn("toks_", F.collect_set("tok").over(w))
-    return seen.where(F.size("toks_") == len({t for _, t, _ in plan}) if len({t for _, t, _ in plan}) == len(plan) else F.size("toks_") == len(plan)).select("rid", "sid").distinct()
+    return seen.where(F.size("toks_") == len(plan)).select("rid", "sid").distinct()
 
 
 def similar(index: TextIndex, text: str, threshold: int = 10, unit: str = "document", weight: Weight = 1, expand: str = "exact") -> Records:
