@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkwell.functions.text import is_space, normalize_with_offsets
+from inkwell.functions.text import byte_offsets, is_space, normalize_with_offsets
 
 MAX_RESULTS, MAX_KEYWORDS, MAX_TAGS = 16, 32, 512
 _ESCAPES = {"<": "&lt;", ">": "&gt;", "&": "&amp;", '"': "&quot;"}
@@ -47,9 +48,7 @@ class Snippets:
             return []
         chars, starts, ends, _ = normalize_with_offsets(text, True, self.raw)
         flat = "".join(chars)
-        at = [0]  # byte offset of each character of the text
-        for ch in text:
-            at.append(at[-1] + len(ch.encode("utf-8", "surrogatepass")))
+        at = byte_offsets(text)
         total = at[-1]
 
         def hits(word: str):
@@ -105,9 +104,9 @@ class Snippets:
                 lo = 0
             else:
                 lo = max(min((begin + last_end - self.width) // 2, total - self.width), previous)
-            lo = next(x for x in at if x >= max(lo, 0))
+            lo = at[bisect_left(at, max(lo, 0))]
             hi = lo + self.width
-            hi = max(x for x in at if x <= hi) if hi < total else total
+            hi = at[bisect_right(at, hi) - 1] if hi < total else total
             previous = hi
             results.append(self._tagged(text, at, lo, hi, tags))
             parked = [False] * len(now)
@@ -124,9 +123,9 @@ class Snippets:
             if e <= hi:
                 closes[e] = self.keywords[k][1].close + closes.get(e, "")
         out = []
-        for ch, a, b in zip(text, at, at[1:]):
-            if lo <= a < hi:
-                out += (opens.get(a, ""), _ESCAPES.get(ch, ch) if self.escape else ch, closes.get(b, ""))
+        first, end = bisect_left(at, lo), bisect_left(at, hi)
+        for ch, a, b in zip(text[first:end], at[first:end], at[first + 1 : end + 1]):
+            out += (opens.get(a, ""), _ESCAPES.get(ch, ch) if self.escape else ch, closes.get(b, ""))
         return "".join(out)
 
 

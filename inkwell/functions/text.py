@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -39,6 +40,23 @@ def _mapped(ch: str) -> str:
     return m[1:] if len(m) > 1 and m[0] == " " else m
 
 
+class _Clean(dict):
+    """Mapped form of a character without control characters."""
+
+    def __missing__(self, ch: str) -> str:
+        self[ch] = got = "".join(c for c in _mapped(ch) if c >= " ")
+        return got
+
+
+class _Raw(dict):
+    def __missing__(self, ch: str) -> str:
+        self[ch] = ch
+        return ch
+
+
+_CLEAN, _RAW = _Clean(), _Raw()
+
+
 @lru_cache(maxsize=65536)
 def _composed(a: str, b: str) -> str | None:
     """a and b as one character, if there is one; half-width voiced kana included."""
@@ -55,23 +73,24 @@ def normalize_with_offsets(s: str, remove_blank: bool = False, raw: bool = False
     """
     out, starts, ends, blank = [], [], [], []
     last = 0
+    table = _RAW if raw else _CLEAN
     for i, ch in enumerate(s):
-        if raw:
-            if remove_blank and is_space(ch):
-                if out:
-                    blank[-1] = True
-                continue
-            got = ch
-        else:
-            got = "".join(c for c in _mapped(ch) if c >= " ")
-            if remove_blank and got == " ":
-                got = ""
-            if not got:
-                if out and (ch < " " or is_space(ch)):
-                    blank[-1] = True
-                continue
+        got = table[ch]
+        if remove_blank and (got == " " or raw and ch in _SPACES):
+            got = ""
+        if not got:
+            if out and (ch < " " or ch in _SPACES):
+                blank[-1] = True
+            continue
+        if raw or len(got) == 1 and got < "\u0300":  # nothing below joins the character before it
+            out.append(got)
+            starts.append(last)
+            ends.append(i + 1)
+            blank.append(False)
+            last = i + 1
+            continue
         for c in got:
-            both = None if raw or not out or blank[-1] else _composed(out[-1], c)
+            both = None if not out or blank[-1] or c < "\u0300" else _composed(out[-1], c)
             if both:
                 out[-1], ends[-1], last = both, i + 1, i + 1
             else:
@@ -83,6 +102,13 @@ def normalize_with_offsets(s: str, remove_blank: bool = False, raw: bool = False
     return out, starts, ends, blank
 
 
+def byte_offsets(s: str) -> list[int] | range:
+    """UTF-8 offset of each character, and of the end."""
+    if s.isascii():
+        return range(len(s) + 1)
+    return list(accumulate((1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4 for c in s), initial=0))
+
+
 def normalize(s: str | None, remove_blank: bool = False, glue_controls: bool = True) -> str | None:
     """NFKC in lower case without control characters; unless ``glue_controls``, line ends and tabs become spaces first."""
     if s is None:

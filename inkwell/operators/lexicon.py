@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.functions.text import normalize_with_offsets
+from inkwell.functions.text import byte_offsets, normalize_with_offsets
 
 #: Keys up to which a dictionary is sent to the workers whole; beyond, texts are cut and joined.
 DICTIONARY_KEYS = 1_000_000
@@ -129,16 +129,20 @@ class _Trie:
 
     def scan(self, text: str, normalized: bool) -> list[tuple[str, int, int]]:
         chars, starts, ends, _ = normalize_with_offsets(text, raw=not normalized)
-        s, i, out = "".join(chars), 0, []
+        s, i, out, at = "".join(chars), 0, [], byte_offsets(text)
+        first = {p for p in self.prefixes if len(p) == 1}
         while i < len(s):
+            if chars[i] not in first:
+                i += 1
+                continue
             best, j = 0, i + 1
             while j <= len(s) and s[i:j] in self.prefixes:
                 if s[i:j] in self.ids:
                     best = j
                 j += 1
             if best:
-                a = len(text[: starts[i]].encode())
-                out.append((self.ids[s[i:best]], a, len(text[: ends[best - 1]].encode()) - a))
+                a = at[starts[i]]
+                out.append((self.ids[s[i:best]], a, at[ends[best - 1]] - a))
                 i = best
             else:
                 i += 1
