@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.functions.text import byte_offsets, normalize_with_offsets
+from inkwell.functions.text import byte_offsets, normalize_text, normalize_with_offsets
 
 #: Keys up to which a dictionary is sent to the workers whole; beyond, texts are cut and joined.
 DICTIONARY_KEYS = 1_000_000
@@ -124,7 +124,7 @@ class _Trie:
         for k in keys:
             n = "".join(normalize_with_offsets(k)[0])
             if n:
-                self.ids[n] = k
+                self.ids[n] = min(k, self.ids.get(n, k))
                 self.prefixes.update(n[:i] for i in range(1, len(n) + 1))
 
     def scan(self, text: str, normalized: bool) -> list[tuple[str, int, int]]:
@@ -153,13 +153,13 @@ def dictionary_scan(texts: DataFrame, column: Column, table: DataFrame, key: str
     """``texts`` with a row per dictionary hit: key, offset and length in bytes of the original text.
 
     Left to right, longest key first, hits don't overlap. A dictionary over
-    DICTIONARY_KEYS is applied part by part (by first character) and the hits
-    are then chosen per text.
+    DICTIONARY_KEYS is joined with all spans of the texts, with the same hits.
+    Of keys that normalise alike the least is reported.
     """
     spark = texts.sparkSession
     kind = "array<struct<key:string,offset:int,length:int>>"
     if table.limit(DICTIONARY_KEYS + 1).count() > DICTIONARY_KEYS:
-        return _scan_by_join(texts, column, table, key)
+        return _scan_by_join(texts, column, table, key, normalized)
     shared = spark.sparkContext.broadcast(_Trie(r[0] for r in table.select(key).where(F.col(key).isNotNull()).toLocalIterator()))
 
     @F.pandas_udf(kind)
@@ -169,16 +169,32 @@ def dictionary_scan(texts: DataFrame, column: Column, table: DataFrame, key: str
     return texts.withColumn("hit", F.explode(run(column))).select("*", "hit.*").drop("hit")
 
 
-def _scan_by_join(texts: DataFrame, column: Column, table: DataFrame, key: str) -> DataFrame:
-    """All spans up to the longest key are joined with the dictionary; a fold per text then picks left to right."""
-    most = table.agg(F.max(F.length(key))).first()[0]
-    named = texts.withColumn("row_", F.monotonically_increasing_id()).withColumn("text_", F.lower(column))
-    at_ = named.select("row_", "text_", F.explode(F.sequence(F.lit(1), F.length("text_"))).alias("i")).where("text_ <> ''")
-    span = at_.select("row_", "i", F.octet_length(F.substring(F.col("text_"), F.lit(1), F.col("i") - 1)).alias("offset"), F.explode(F.sequence(F.lit(1), F.lit(most))).alias("n"), "text_").where("i + n - 1 <= length(text_)")
-    span = span.withColumn("k_", F.substring(F.col("text_"), F.col("i"), F.col("n")))
-    hit = span.join(table.select(F.lower(key).alias("k_"), F.col(key).alias("key")), "k_").groupBy("row_", "i").agg(F.max_by(F.struct("i", "n", "offset", "key"), "n").alias("h"))
+def _scan_by_join(texts: DataFrame, column: Column, table: DataFrame, key: str, normalized: bool = True) -> DataFrame:
+    """All spans up to the longest key are joined with the dictionary; a fold per text then picks left to right.
+
+    Texts and keys are normalised as in ``_Trie``; bytes of the original text go along by character.
+    """
+
+    @F.pandas_udf("struct<text:string,starts:array<int>,ends:array<int>>")
+    def cut(s: pd.Series) -> pd.DataFrame:
+        out = []
+        for x in s:
+            x = x if isinstance(x, str) else ""
+            chars, starts, ends, _ = normalize_with_offsets(x, raw=not normalized)
+            at = byte_offsets(x)
+            out.append(("".join(chars), [at[i] for i in starts], [at[i] for i in ends]))
+        return pd.DataFrame(out, columns=["text", "starts", "ends"])
+
+    keys = table.where(F.col(key).isNotNull()).select(normalize_text(F.col(key)).alias("k_"), F.col(key).alias("key")).where("k_ <> ''").groupBy("k_").agg(F.min("key").alias("key"))
+    most = keys.agg(F.max(F.length("k_"))).first()[0] or 0
+    named = texts.withColumn("row_", F.monotonically_increasing_id())
+    at_ = named.select("row_", cut(column).alias("t_")).select("row_", "t_", F.col("t_.text").alias("text_")).where("text_ <> ''")
+    at_ = at_.select("row_", "t_.ends", "text_", F.posexplode("t_.starts").alias("p", "offset")).withColumn("i", F.col("p") + 1)
+    span = at_.select("row_", "i", "offset", "ends", "text_", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.length("text_") - F.col("p")))).alias("n")) if most else at_.withColumn("n", F.lit(0)).limit(0)
+    span = span.select("row_", "i", "n", "offset", (F.element_at("ends", F.col("i") + F.col("n") - 1) - F.col("offset")).alias("length"), F.substring(F.col("text_"), F.col("i"), F.col("n")).alias("k_"))
+    hit = span.join(keys, "k_").groupBy("row_", "i").agg(F.max_by(F.struct("i", "n", "offset", "length", "key"), "n").alias("h"))
     every = hit.groupBy("row_").agg(F.array_sort(F.collect_list("h")).alias("hs"))
-    kind = "array<struct<i:int,n:int,offset:int,key:string>>"
+    kind = "array<struct<i:int,n:int,offset:int,length:int,key:string>>"
     picked = F.aggregate("hs", F.array().cast(kind), lambda acc, h: F.when((F.size(acc) == 0) | (h["i"] >= F.element_at(acc, -1)["i"] + F.element_at(acc, -1)["n"]), F.concat(acc, F.array(h).cast(kind))).otherwise(acc))
-    out = every.select("row_", F.explode(picked).alias("h")).select("row_", F.col("h.key").alias("key"), F.col("h.offset").alias("offset"), F.octet_length("h.key").alias("length"))
-    return named.drop("text_").join(out, "row_").drop("row_")
+    out = every.select("row_", F.explode(picked).alias("h")).select("row_", "h.key", "h.offset", "h.length")
+    return named.join(out, "row_").drop("row_")

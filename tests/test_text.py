@@ -130,6 +130,22 @@ def test_lexicon(spark, tmp_path):
     assert sorted(joined) == sorted(hits)
 
 
+@pytest.mark.parametrize("normalized", [True, False])
+def test_large_dictionary_gives_the_same_hits(spark, monkeypatch, normalized):
+    keys = spark.createDataFrame([("ABC",), ("abc",), ("é",), ("fi",), ("ガ",), ("tion of",), ("b c",), ("𝒳y",), ("",), (None,)], "key string")
+    rows = ["ＡＢＣ abc ABC", "e\u0301 é", "oﬁ fi", "ｶﾞ ガ カ\u3099", "tion\n of ti\non of", "ab ccc", "𝒳y 𝒳Y", "", None, "abc", "ßabc\u200bABC"]
+    texts = spark.createDataFrame(list(enumerate(rows)), "id int, t string")
+
+    def hits():
+        return sorted(tuple(r) for r in lexicon.dictionary_scan(texts, F.col("t"), keys, normalized=normalized).select("id", "key", "offset", "length").collect())
+
+    sent = hits()
+    monkeypatch.setattr(lexicon, "DICTIONARY_KEYS", 3)
+    assert hits() == sent
+    if normalized:
+        assert {(0, "ABC", 0, 9), (1, "é", 0, 3), (3, "ガ", 0, 6)} <= set(sent)
+
+
 def test_tsv(spark, tmp_path):
     (tmp_path / "a.tsv").write_text("k1\tx\t1\nbad\nk2\ty\t2\nk1\tz\t3\n\nk3\tw\t4\n")
     got = tsv.load_tsv(spark, str(tmp_path / "a.tsv"), ["s", "n"], types={"n": "int"})
