@@ -1,14 +1,23 @@
 """Lexical retrieval packing: BM25 neighbours of a seed document fill its window.
 
-The corpus is cut into shards of about ``SHARD_WORDS`` words. A shard holds an
-inverted index of its own documents; document frequencies and the mean length
-are those of the whole corpus. In order of id each unused document seeds a
-window, the index ranks all documents of the shard against all of the seed's
-terms, and unused neighbours that still fit go in by falling score, ties by id.
+In order of id each unused document seeds a window, all documents of the corpus
+are ranked against all of the seed's terms, and unused neighbours that still fit
+go in by falling score, ties by id.
 
-Neighbours can only be found inside a shard, so documents are laid out by a
-locality key first: language, then the least hash of the document's terms, so
-that copies and documents with much in common become shard mates.
+The corpus is cut into shards of about ``SHARD_WORDS`` words, each with an
+inverted index of its own documents; document frequencies and the mean length
+are those of the whole corpus. Seeds are taken in batches: every shard scores
+its unused documents against every seed of the batch, the driver fills the
+windows in order. What a shard needn't send is bounded exactly: a document of at
+least T words is taken only while T words are free, and as long as they are,
+every shorter unused document with a higher score has been taken. So for each T
+of ``steps`` there is a score under which such documents can't go in (``prune``).
+Seeds before it in the batch may have taken some of these; then a seed whose
+window still has room at that score is asked again, first in the next batch.
+The work grows with the square of the corpus.
+
+Documents are laid out by language and the least hash of their terms, so that
+shards hold related documents; this doesn't change results.
 Frequencies live in a table of ``2**CELL_BITS`` hashed cells, stored as eighths
 of a power of two: 2 MB whatever the corpus, at worst an idf a little too low.
 """
@@ -20,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +42,13 @@ SHARD_WORDS = 1 << 20
 CELL_BITS = 21
 RANGE_BITS = 16  # ranges of the locality key whose sizes the driver sees
 K1, B = 1.2, 0.75
+BATCH = 512  # seeds that are scored at once, at most
+SHARE = 32  # a batch has at most one in so many of the unused documents
+REST = 1024  # so few unused documents all seed, and nothing is pruned
+SPARE = 1  # a window's candidates are those of one larger by so many windows, for what seeds before it take
+SCANS = 12  # tasks that score a batch
+N_STEPS = 96  # lengths, evenly spread over the documents, by which candidates are bounded
+_MANY = 256  # candidates of a seed that a task holds before it prunes
 _CELLS_A_BUCKET = 1 << 16
 SCHEMA = "pack_id long, shard long, seed_doc_id long, doc_ids array<long>, starts array<int>, n_words array<int>, total_words int"
 
@@ -61,52 +78,49 @@ def idf(logdf: np.ndarray, n_docs: int) -> np.ndarray:
     return np.log1p((n_docs - df + 0.5) / (df + 0.5))
 
 
-def fill(ids: np.ndarray, lengths: np.ndarray, row: np.ndarray, term: np.ndarray, tf: np.ndarray, weight: np.ndarray, mean_length: float, window: int = WINDOW) -> list[tuple]:
-    """Windows of one shard: (seed, doc ids, starts, words of each), documents in the given order.
+def steps(size: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Lengths from 1 up with about as many documents between them, and closer among the shortest; count: documents of each rising size."""
+    if not len(size):
+        return np.ones(1, np.int64)
+    upto = np.cumsum(count)
+    marks = np.concatenate((np.arange(1, N_STEPS) * (upto[-1] / N_STEPS), 2.0 ** np.arange(np.log2(max(upto[-1] / N_STEPS, 1)))))
+    return np.unique(np.concatenate(([1], size[np.searchsorted(upto, np.minimum(marks, upto[-1]))])))
+
+
+def prune(score: np.ndarray, rank: np.ndarray, size: np.ndarray, ids: np.ndarray, cut: np.ndarray, limit: int, at_least: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Candidates by falling score, ties by rank, without those under the score of their step; raises ``cut`` in place.
 
-    row, term, tf: distinct terms of each document, rows ascending; ``weight``:
-    the idf of each entry's term. A document longer than the window fills whole
-    windows alone and its rest seeds the next.
+    The score of step T is where documents of up to T words add up to more than ``limit`` - T.
     """
-    n = len(ids)
-    _, t = np.unique(term, return_inverse=True)
-    order = np.argsort(t, kind="stable")
-    at = np.concatenate(([0], np.cumsum(np.bincount(t))))
-    norm = tf + K1 * (1 - B + B * lengths[row] / max(mean_length, 1e-9))
-    impact = (weight * tf * (K1 + 1) / norm)[order]
-    who = row[order]
-    first = np.searchsorted(row, np.arange(n + 1))
-    useful = np.diff(at) > 1
-    left = np.ones(n, bool)
-    out = []
-    for s in range(n):
-        if not left[s]:
-            continue
-        left[s] = False
-        whole, rest = divmod(int(lengths[s]), window)
-        for k in range(whole):
-            out.append((ids[s], [ids[s]], [k * window], [window]))
-        if whole and not rest:
-            continue
-        docs, room = [s], window - rest
-        mine = t[first[s] : first[s + 1]]
-        mine = mine[useful[mine]]
-        if room and len(mine):
-            post = tv.ragged(at[mine], at[mine + 1] - at[mine])
-            score = np.bincount(who[post], impact[post], n)
-            found = np.flatnonzero((score > 0) & left & (lengths <= room))
-            found = found[np.argsort(-score[found], kind="stable")]
-            size = lengths[found]
-            while len(found):  # all that fit in a row, then past what doesn't
-                take = int(np.searchsorted(np.cumsum(size), room, side="right"))
-                docs += found[:take].tolist()
-                room -= int(size[:take].sum())
-                fits = size[take:] <= room
-                found, size = found[take:][fits], size[take:][fits]
-            left[docs] = False
-        starts = [whole * window] + [0] * (len(docs) - 1)
-        out.append((ids[s], ids[docs].tolist(), starts, [rest] + lengths[docs[1:]].tolist()))
-    return out
+    order = np.lexsort((rank, -score))
+    score, rank, size, ids = score[order], rank[order], size[order], ids[order]
+    over = np.cumsum(np.where(size <= at_least[:, None], size, 0), axis=1) > (limit - at_least)[:, None]
+    full = over.any(axis=1)
+    cut[full] = np.maximum(cut[full], score[over.argmax(axis=1)[full]])
+    keep = score >= cut[np.searchsorted(at_least, size, side="right") - 1]
+    return score[keep], rank[keep], size[keep], ids[keep]
+
+
+def walk(size: np.ndarray, room: int) -> np.ndarray:
+    """Which of the sizes, in their order, go in: each that still fits."""
+    at, got = np.flatnonzero(size <= room), [np.empty(0, np.int64)]
+    while len(at):  # all that fit in a row, then past what doesn't
+        total = np.cumsum(size[at])
+        n = int(np.searchsorted(total, room, side="right"))
+        got.append(at[:n])
+        room -= int(total[n - 1])
+        at = at[n:]
+        at = at[size[at] <= room]
+    return np.concatenate(got)
+
+
+def take(score: np.ndarray, rank: np.ndarray, size: np.ndarray, cut: np.ndarray, room: int, left: np.ndarray, at_least: np.ndarray) -> np.ndarray | None:
+    """Which candidates go in, by falling score; None if one under its step's score might."""
+    here = np.flatnonzero(left[rank])
+    got = here[walk(size[here], room)]
+    used = np.concatenate(([0], np.cumsum(size[got])))
+    at = np.searchsorted(-score[got], -cut, side="right")  # taken at or above the score of each step
+    return None if ((room - used[at] >= at_least) & (cut > 0)).any() else got
 
 
 def _survey(docs: DataFrame) -> DataFrame:
@@ -170,7 +184,7 @@ def shard_plan(sizes: list[tuple[str, int, int]], shard_words: int = SHARD_WORDS
     return plan
 
 
-def pack(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, batch: int | None = None) -> DataFrame:
     """One row per window: pack_id, shard, seed, and the documents with their first word and word count.
 
     Each document row with an id and a word is placed exactly once (a text
@@ -178,7 +192,8 @@ def pack(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS)
     or wordless texts, hold nothing to place and are left out; a null or
     missing language counts as "". Rows that repeat an id are placed each.
     Equal scores go by doc_id. An empty table gives no windows. Other columns
-    aren't read.
+    aren't read. ``shard`` is that of the seed. ``batch``: seeds scored at once;
+    results don't depend on it or on ``shard_words``.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -223,8 +238,29 @@ def pack(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS)
                     ["shard", "doc_id", "n", "terms", "tfs"],
                 )
 
+    laid = Written(docs.mapInArrow(send, "shard long, doc_id long, n int, terms binary, tfs binary"), "laid")
+    by = ["doc_id", "n", "terms", "tfs"]
+
+    def number(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = TaskContext.get().partitionId() << 32
+        for b in it:
+            yield pa.record_batch([*b.columns, pa.array(np.arange(n, n + b.num_rows))], [*b.schema.names, "key"])
+            n += b.num_rows
+
+    rows = Written(laid.df.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(number, "shard long, doc_id long, n int, terms binary, tfs binary, key long"), "rows")
+    laid.drop()
+    counted = rows.df.groupBy(F.shiftright("key", 32).alias("part")).count().orderBy("part").collect()
+    parts, counts = np.array([r.part for r in counted], np.int64), np.array([r["count"] for r in counted], np.int64)
+    begin = np.cumsum(counts) - counts
+
+    def ranks(key: np.ndarray) -> np.ndarray:
+        return begin[np.searchsorted(parts, key >> 32)] + (key & 0xFFFFFFFF)
+
+    def keys(rank: np.ndarray) -> np.ndarray:
+        p = np.searchsorted(begin, rank, side="right") - 1
+        return (parts[p] << 32) | (rank - begin[p])
+
     def shards(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logdf, _ = shared.value
         held: list[pa.RecordBatch] = []
         now = None
         for b in it:  # sorted by shard
@@ -232,35 +268,129 @@ def pack(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS)
             cut = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(shard) else []
             for lo, hi in zip(cut, [*cut[1:], len(shard)]):
                 if held and shard[lo] != now:
-                    yield one(now, held, logdf)
+                    yield one(held)
                     held = []
                 now = shard[lo]
                 held.append(b.slice(int(lo), int(hi - lo)))
         if held:
-            yield one(now, held, logdf)
+            yield one(held)
 
-    def one(shard: int, held: list[pa.RecordBatch], logdf: np.ndarray) -> pa.RecordBatch:
+    def one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """The inverted index of a shard; documents longer than the window are never neighbours."""
         t = pa.Table.from_batches(held)
-        ids, lengths = t["doc_id"].to_numpy(), t["n"].to_numpy().astype(np.int64)
-        raw, tfs = t["terms"].to_pylist(), t["tfs"].to_pylist()
-        order = sorted(range(len(ids)), key=lambda k: (ids[k], lengths[k], raw[k], tfs[k]))
-        term = np.frombuffer(b"".join(raw[k] for k in order), np.uint32)
-        tf = np.frombuffer(b"".join(tfs[k] for k in order), np.uint16).astype(np.float64)
-        row = np.repeat(np.arange(len(order)), [len(raw[k]) // 4 for k in order])
-        weight = idf(logdf[term >> np.uint32(32 - CELL_BITS)], n_docs)
-        got = fill(ids[order], lengths[order], row, term, tf, weight, mean, window)
-        return pa.record_batch(
-            [
-                pa.array([(int(shard) << 24) + k for k in range(len(got))], pa.int64()),
-                pa.array([int(shard)] * len(got), pa.int64()),
-                pa.array([int(g[0]) for g in got], pa.int64()),
-                pa.array([g[1] for g in got], pa.list_(pa.int64())),
-                pa.array([g[2] for g in got], pa.list_(pa.int32())),
-                pa.array([g[3] for g in got], pa.list_(pa.int32())),
-                pa.array([sum(g[3]) for g in got], pa.int32()),
-            ],
-            ["pack_id", "shard", "seed_doc_id", "doc_ids", "starts", "n_words", "total_words"],
-        )
-
-    sent = docs.mapInArrow(send, "shard long, doc_id long, n int, terms binary, tfs binary")
-    return sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(shards, SCHEMA)
+        raw = t["terms"].to_pylist()
+        term = np.frombuffer(b"".join(raw), np.uint32)
+        tf = np.frombuffer(b"".join(t["tfs"].to_pylist()), np.uint16)
+        who = np.repeat(np.arange(len(raw), dtype=np.int32), [len(x) // 4 for x in raw])
+        order = np.argsort(term, kind="stable")
+        vocab, n = np.unique(term, return_counts=True)
+        arrays = [ranks(t["key"].to_numpy()), t["doc_id"].to_numpy(), t["n"].to_numpy().astype(np.int64), vocab, n.astype(np.int64), who[order], tf[order]]
+        return pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in arrays], names)
+
+    names = ["ranks", "ids", "sizes", "vocab", "counts", "who", "tf"]
+    kinds = [np.int64, np.int64, np.int64, np.uint32, np.int64, np.int32, np.uint16]
+    index = Written(rows.df.select("shard", "doc_id", "n", "terms", "tfs", "key").repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(shards, ", ".join(f"{x} binary" for x in names)), "index")
+    spread = rows.df.where(F.col("n") <= window).groupBy("n").count().orderBy("n").collect()
+    at_least = steps(np.array([r.n for r in spread], np.int64), np.array([r["count"] for r in spread], np.int64))
+    found = "seed int, score binary, rank binary, size binary, id binary, cut binary"
+
+    def row(seed: int, got: tuple[np.ndarray, ...], cut: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([seed], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (*got, cut)]], ["seed", "score", "rank", "size", "id", "cut"])
+
+    def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Candidates of each seed among the unused documents of the task's shards."""
+        logdf, _ = shared.value
+        terms, first, me, room, slack, bits = asked.value
+        left = np.unpackbits(bits).view(bool)
+        cuts = np.zeros((len(me), len(at_least)))
+        held: list[tuple[np.ndarray, ...] | None] = [None] * len(me)
+        for r in (r for b in it for r in zip(*(c.to_pylist() for c in b.columns))):
+            rank, ids, size, vocab, n, who, tf = (np.frombuffer(x, k) for x, k in zip(r, kinds))
+            free = left[rank] & (size <= window)
+            rank, ids, size_free = rank[free], ids[free], size[free]
+            if not len(rank) or not len(vocab):
+                continue
+            weight = np.repeat(idf(logdf[vocab >> np.uint32(32 - CELL_BITS)], n_docs), n)
+            keep = free[who]
+            at = np.concatenate(([0], np.cumsum(keep)))[np.concatenate(([0], np.cumsum(n)))]
+            who = (np.cumsum(free) - 1)[who[keep]]
+            tf, size = tf[keep].astype(np.float64), size_free
+            impact = weight[keep] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[who] / max(mean, 1e-9)))
+            step = np.searchsorted(at_least, size, side="right") - 1
+            t = np.minimum(np.searchsorted(vocab, terms), len(vocab) - 1)
+            many = np.where(vocab[t] == terms, at[t + 1] - at[t], 0)
+            start = at[t]
+            for s in range(len(me)):
+                lo, hi = first[s], first[s + 1]
+                post = tv.ragged(start[lo:hi], many[lo:hi])
+                if not len(post):
+                    continue
+                score = np.bincount(who[post], impact[post], len(rank))
+                new = np.flatnonzero((score > 0) & (score >= cuts[s][step]) & (size <= room[s]) & (rank != me[s]))
+                if not len(new):
+                    continue
+                got = (score[new], rank[new], size[new], ids[new])
+                if held[s] is not None:
+                    got = tuple(np.concatenate(x) for x in zip(held[s], got))
+                held[s] = prune(*got, cuts[s], room[s] + slack, at_least) if len(got[0]) > _MANY else got
+        for s, got in enumerate(held):
+            if got is not None:
+                yield row(s, prune(*got, cuts[s], room[s] + slack, at_least), cuts[s])
+
+    def merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Candidates of each seed among all unused documents."""
+        _, _, _, room, slack, _ = asked.value
+        held: dict[int, list[tuple]] = {}
+        for b in it:
+            for seed, *got in zip(*(c.to_pylist() for c in b.columns)):
+                held.setdefault(seed, []).append(tuple(got))
+        for seed, got in held.items():
+            cut = np.max([np.frombuffer(x[4]) for x in got], axis=0)
+            arrays = [np.concatenate([np.frombuffer(x[k], kind) for x in got]) for k, kind in enumerate((np.float64, np.int64, np.int64, np.int64))]
+            yield row(seed, prune(*arrays, cut, room[seed] + slack, at_least), cut)
+
+    packs = Written(spark.createDataFrame([], SCHEMA), "packs")
+    left = np.ones(int(counts.sum()), bool)
+    begun, pack_id, n_left = 0, 0, len(left)
+    while n_left:
+        few = n_left <= REST if batch is None else False
+        most = REST if few else batch or max(1, min(BATCH, n_left // SHARE))
+        want = np.flatnonzero(left[begun:])[:most] + begun
+        k = keys(want)
+        seeds = rows.df.where(F.col("key").isin(k.tolist())).select("key", "shard", "doc_id", "n", "terms").toArrow().sort_by("key")
+        ids, size, shard = seeds["doc_id"].to_numpy(), seeds["n"].to_numpy().astype(np.int64), seeds["shard"].to_numpy()
+        whole, rest = np.divmod(size, window)
+        room = np.where(rest > 0, window - rest, 0)  # nothing is left of a document that ends with a window
+        raw = [x if r else b"" for x, r in zip(seeds["terms"].to_pylist(), room.tolist())]
+        first = np.concatenate(([0], np.cumsum([len(x) // 4 for x in raw])))
+        asked = spark.sparkContext.broadcast((np.frombuffer(b"".join(raw), np.uint32), first, want, room, n_words if few else window * SPARE, np.packbits(left)))
+        got = index.df.coalesce(SCANS).mapInArrow(scan, found).repartition("seed").mapInArrow(merge, found).toArrow()
+        asked.unpersist()
+        answers = {seed: x for seed, *x in zip(*(c.to_pylist() for c in got.columns))}
+        out: list[tuple] = []
+        for s, r in enumerate(want.tolist()):
+            if left[r]:
+                docs_, starts, sizes = [int(ids[s])], [int(whole[s]) * window], [int(rest[s])]
+                taken = []
+                if s in answers:
+                    score, rank, n, id_, cut = (np.frombuffer(x, kind) for x, kind in zip(answers[s], (np.float64, np.int64, np.int64, np.int64, np.float64)))
+                    k = take(score, rank, n, cut, int(room[s]), left, at_least)
+                    if k is None:
+                        break
+                    taken, docs_, starts, sizes = rank[k], docs_ + id_[k].tolist(), starts + [0] * len(k), sizes + n[k].tolist()
+                left[r] = False
+                left[taken] = False
+                out += [(int(shard[s]), int(ids[s]), [int(ids[s])], [w * window], [window]) for w in range(int(whole[s]))]
+                if rest[s]:
+                    out.append((int(shard[s]), int(ids[s]), docs_, starts, sizes))
+                n_left -= 1 + len(taken)
+            begun = r + 1
+        columns = [range(pack_id, pack_id + len(out)), *zip(*out), [sum(x[4]) for x in out]]
+        schema = packs.df.schema
+        pack_id += len(out)
+        if out:
+            table_ = pa.table([pa.array(list(c), kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32()))], names=schema.names)
+            spark.createDataFrame(table_, schema).coalesce(1).write.mode("append").parquet(packs.path)
+    rows.drop()
+    index.drop()
+    return packs.df

@@ -91,6 +91,23 @@ def test_every_document_once_over_shards(spark):
     assert len({r.shard for r in got}) > 3
 
 
+def test_global_over_shards_and_batches(spark):
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(400)]
+    docs = []
+    for i in range(400):
+        words = rng.sample(vocab, rng.randint(5, 120))
+        docs.append((i, " ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 3, 5, 9, 20, 40, 70, 150])))))
+    want = [set(p) for p in brute(docs, 120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for batch in (None, 40):
+        rows = packing.pack(df, window=120, shard_words=1000, batch=batch).orderBy("pack_id").collect()
+        assert len({r.shard for r in rows}) > 8
+        got = [set(r.doc_ids) for r in rows]
+        assert sum(a == b for a, b in zip(got, want)) >= len(want) - 2
+    assert sorted(d for r in rows for d in set(r.doc_ids)) == sorted(d for p in want for d in p)
+
+
 def test_plan_and_frequencies():
     plan = packing.shard_plan([("a", 0, 5), ("a", 1, 6), ("a", 2, 30), ("b", 0, 1)], 10)
     assert plan == {("a", 0): (0, 1), ("a", 1): (1, 1), ("a", 2): (2, 3), ("b", 0): (5, 1)}
