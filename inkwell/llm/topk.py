@@ -1,13 +1,11 @@
 """Exact top-k search of documents by exhaustive term-at-a-time accumulation.
 
-Queries are sparse rows of term counts. A slice of documents becomes postings
-of the queries' terms; each query scatters its weighted postings into a dense
-array of scores, one for each document of the slice, and a partial selection
-keeps the k best. Slices merge within a task, tasks merge in a window.
-Nothing is skipped, so the result is exact.
-
-Impacts are BM25 in whole thousandths, floor(1000 * idf * tf part), so sums are
-exact and don't depend on their order.
+Queries are sparse rows of term counts, in blocks of a bounded size. Documents
+are a written inverted index in shards. In each shard a query scatters its
+weighted postings into a dense array of scores, one for each document, and a
+partial selection keeps the k best. Shards merge within a task, tasks merge in
+a window. Nothing is skipped, so the result is exact (see ``postings`` for the
+impacts, which are whole numbers).
 """
 
 from __future__ import annotations
@@ -19,55 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.llm import postings as P
 from inkwell.llm import textvec as tv
-from inkwell.llm.common import ints, lower_text
-from inkwell.llm.storage import prepare
 
 K = 10
-K1, B = 1.2, 0.75
-QUERY_BYTES = 16_000_000  # query text of one pass; more queries make several passes
-
-
-class Queries:
-    def __init__(self, rows: list[tuple[int | None, str | None]]):
-        self.ids = [r[0] for r in rows]
-        terms, lens = [], []
-        for _, text in rows:
-            got = [tv.words(buf, off)[0] for _, _, buf, off in tv.slices(lower_text(pa.array([text or ""])))]
-            terms.append(got[0])
-            lens.append(len(got[0]))
-        flat = np.concatenate(terms) if terms else np.empty(0, np.int64)
-        vocab, t = np.unique(flat, return_inverse=True)
-        key, self.qtf = np.unique(np.repeat(np.arange(len(rows)), lens) * max(len(vocab), 1) + t, return_counts=True)
-        self.term = key % max(len(vocab), 1)
-        self.at = np.searchsorted(key // max(len(vocab), 1), np.arange(len(rows) + 1))
-        self.vocab = vocab
-        self.table = tv.TermTable(vocab)
-
-
-def _counts(docs: DataFrame, shared) -> DataFrame:
-    """(t, n): documents with term t; t = -1 their number, t = -2 their words."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = shared.value
-        df, n_docs, n_words = np.zeros(len(q.vocab), np.int64), 0, 0
-        for b in it:
-            _, known = ints(b.column(0))
-            for lo, hi, buf, off in tv.slices(lower_text(b.column(1))):
-                terms, first = tv.words(buf, off)
-                ok = known[lo:hi]
-                got = q.table.find(terms)
-                at = np.flatnonzero(got >= 0)
-                row = np.searchsorted(first, at, side="right") - 1
-                at, row = at[ok[row]], row[ok[row]]
-                u = np.unique(row * max(len(df), 1) + got[at])
-                df += np.bincount(u % max(len(df), 1), minlength=len(df))
-                n_docs += int(ok.sum())
-                n_words += int(np.diff(first)[ok].sum())
-        has = np.flatnonzero(df)
-        yield pa.record_batch([pa.array(np.concatenate((has, [-1, -2]))), pa.array(np.concatenate((df[has], [n_docs, n_words])))], ["t", "n"])
-
-    return docs.mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
+ONE_IN = 100  # the stated query set: documents whose id it divides
 
 
 def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -80,102 +34,68 @@ def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """(item_id, rank, doc_id, score): for every query row its k best documents.
+    """(query_id, rank, doc_id, score): for every query row its k best documents.
 
-    ``queries`` has item_id and text. Only positive scores count; equal ones go
+    ``queries`` has query_id and text. Only positive scores count; equal ones go
     by doc_id. Documents with a null id are left out, also of the statistics;
-    null and empty texts have no words but count as documents. A null item_id
-    is reported as null (all such rows rank as one query each, told apart
-    internally). Rows that repeat an id are documents (or queries) of their own.
-    Other columns aren't read; empty tables give no rows.
+    null and empty texts have no words but count as documents. A null query_id
+    is reported as null (such rows are queries of their own). Rows that repeat
+    an id are documents (or queries) of their own. Other columns aren't read;
+    empty tables give no rows.
     """
     spark = docs.sparkSession
-    prepare(spark)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    out, held, size, base = None, [], 0, 0
-
-    def one(rows: list, base: int) -> DataFrame:
-        q = Queries(rows)
-        shared = spark.sparkContext.broadcast(q)
-        stats = {r.t: r.n for r in _counts(docs, shared).collect()}
-        n_docs, n_words = stats.pop(-1, 0), stats.pop(-2, 0)
-        df = np.zeros(len(q.vocab))
-        for t, n in stats.items():
-            df[t] = n
-        idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
-        mean = n_words / max(n_docs, 1)
-        weights = spark.sparkContext.broadcast(idf)
-
-        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q, idf = shared.value, weights.value
-            v = max(len(q.vocab), 1)
-            top = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in q.ids]
-            for b in it:
-                ids, known = ints(b.column(0))
-                for lo, hi, buf, off in tv.slices(lower_text(b.column(1)), 4 * tv.SLICE_BYTES):
-                    terms, first = tv.words(buf, off)
-                    got = q.table.find(terms)
-                    at = np.flatnonzero(got >= 0)
-                    row = np.searchsorted(first, at, side="right") - 1
-                    ok = known[lo:hi][row]
-                    key = got[at[ok]].astype(np.int64) * (hi - lo) + row[ok]
-                    key.sort()
-                    new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
-                    tf = np.diff(np.append(new, len(key)))
-                    t, d = key[new] // (hi - lo), key[new] % (hi - lo)
-                    norm = tf + K1 * (1 - B + B * np.diff(first)[d] / mean) if mean else np.ones(len(tf))
-                    impact = np.floor(1000 * (idf[t] * (tf * (K1 + 1) / norm)))
-                    post = np.searchsorted(t, np.arange(v + 1))
-                    these = ids[lo:hi]
-                    for i in range(len(q.ids)):
-                        mine = slice(q.at[i], q.at[i + 1])
-                        qt = q.term[mine]
-                        n = post[qt + 1] - post[qt]
-                        p = tv.ragged(post[qt], n)
-                        if not len(p):
-                            continue
-                        score = np.bincount(d[p], impact[p] * np.repeat(q.qtf[mine], n), hi - lo)
-                        if len(top[i][0]) == k:  # only what beats or ties the worst kept
-                            score[score < top[i][1][-1]] = 0
-                        good = best(score, these, k)
-                        if len(good):
-                            a, s = np.concatenate((top[i][0], these[good])), np.concatenate((top[i][1], score[good].astype(np.int64)))
-                            keep = best(s, a, k)
-                            top[i] = a[keep], s[keep]
-            n = [len(a) for a, _ in top]
-            yield pa.record_batch(
-                [pa.array(np.repeat(np.arange(len(n)), n) + base), pa.array(np.concatenate([a for a, _ in top]) if top else np.empty(0, np.int64)), pa.array(np.concatenate([s for _, s in top]) if top else np.empty(0, np.int64))],
-                ["q", "doc_id", "score"],
-            )
-
-        found = docs.mapInArrow(run, "q long, doc_id long, score long")
-        rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("doc_id")))
-        names = spark.createDataFrame([(base + i, x) for i, x in enumerate(q.ids)], "q long, item_id long")
-        return found.withColumn("rank", rank).where(F.col("rank") <= k).join(F.broadcast(names), "q").select("item_id", "rank", "doc_id", "score")
-
-    for r in queries.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
-        held.append((r[0], r[1]))
-        size += len(r[1] or "")
-        if size > QUERY_BYTES:
-            got = one(held, base)
-            out = got if out is None else out.unionByName(got)
-            base, held, size = base + len(held), [], 0
-    if held or out is None:
-        got = one(held, base)
+    index = P.build(docs)
+    out, base = None, 0
+    for block in P.blocks(queries.select(F.col("query_id").cast("long"), F.col("text").cast("string"))):
+        got = _one(index.df, block, base, k)
+        names = spark.createDataFrame(pa.table([pa.array(range(base, base + len(block.ids)), pa.int64()), pa.array(block.ids, pa.int64())], names=["q", "query_id"]), "q long, query_id long")
+        base += len(block.ids)
+        got = got.join(F.broadcast(names), "q").select("query_id", "rank", "doc_id", "score")
         out = got if out is None else out.unionByName(got)
     return out
 
 
-def sql(word_re: str = tv.WORD_RE, k: int = K) -> str:
-    """DuckDB SQL of ``search`` over documents and benchmark."""
+def _one(index: DataFrame, block: P.Block, base: int, k: int) -> DataFrame:
+    sc = index.sparkSession.sparkContext
+    stats = P.Statistics(index, block)
+    shared = sc.broadcast((block, stats.idf, stats.mean))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, idf, mean = shared.value
+        top = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in block.ids]
+        for _, shard in P.shards(it, block, idf, mean):
+            for i, score in shard.scores(block, True):
+                a, s = top[i]
+                if len(a) == k:  # only what beats or ties the worst kept
+                    score[score < s[-1]] = 0
+                good = best(score, shard.ids, k)
+                if len(good):
+                    a, s = np.concatenate((a, shard.ids[good])), np.concatenate((s, score[good].astype(np.int64)))
+                    keep = best(s, a, k)
+                    top[i] = a[keep], s[keep]
+        n = [len(a) for a, _ in top]
+        e = [np.empty(0, np.int64)]
+        yield pa.record_batch(
+            [pa.array(np.repeat(np.arange(len(n)), n) + base), pa.array(np.concatenate(e + [a for a, _ in top])), pa.array(np.concatenate(e + [s for _, s in top]))],
+            ["q", "doc_id", "score"],
+        )
+
+    found = index.select(*P.COLUMNS).mapInArrow(run, "q long, doc_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("doc_id")))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def sql(word_re: str = tv.WORD_RE, k: int = K, queries: str = f"SELECT doc_id AS query_id, text FROM documents WHERE doc_id % {ONE_IN} = 0") -> str:
+    """DuckDB SQL of ``search`` over documents, with every document whose id ONE_IN divides as a query."""
     return f"""
-WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '{word_re}')) AS t FROM documents WHERE doc_id IS NOT NULL),
-tf AS (SELECT doc_id, t, count(*) AS tf FROM w GROUP BY doc_id, t),
-len AS (SELECT doc_id, sum(tf) AS n FROM tf GROUP BY doc_id),
-s AS (SELECT (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL)::DOUBLE AS nd, (SELECT count(*) FROM w)::DOUBLE AS nw),
+WITH d0 AS (SELECT row_number() OVER () AS did, doc_id, regexp_extract_all(lower(coalesce(text, '')), '{word_re}') AS w FROM documents WHERE doc_id IS NOT NULL),
+w AS (SELECT did, unnest(w) AS t FROM d0),
+tf AS (SELECT did, t, count(*) AS tf FROM w GROUP BY did, t),
+s AS (SELECT count(*)::DOUBLE AS nd, sum(len(w))::DOUBLE AS nw FROM d0),
 df AS (SELECT t, count(*)::DOUBLE AS df FROM tf GROUP BY t),
-q AS (SELECT item_id, t, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '{word_re}')) AS t FROM benchmark) GROUP BY item_id, t),
-sc AS (SELECT item_id, tf.doc_id, sum(qtf * floor(1000 * (ln(1 + (nd - df + 0.5) / (df + 0.5)) * (tf * ({K1} + 1) / (tf + {K1} * (1 - {B} + {B} * n / (nw / nd)))))))::BIGINT AS score
-  FROM q JOIN tf USING (t) JOIN df USING (t) JOIN len ON len.doc_id = tf.doc_id, s GROUP BY item_id, tf.doc_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0)
-SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= {k}"""
+q0 AS (SELECT row_number() OVER () AS qid, query_id, regexp_extract_all(lower(coalesce(text, '')), '{word_re}') AS w FROM ({queries})),
+q AS (SELECT qid, t, count(*) AS qtf FROM (SELECT qid, unnest(w) AS t FROM q0) GROUP BY qid, t),
+sc AS (SELECT qid, tf.did, sum(qtf * floor(1000 * (ln(1 + (nd - df + 0.5) / (df + 0.5)) * (tf * ({P.K1} + 1) / (tf + {P.K1} * (1 - {P.B} + {P.B} * len(d0.w) / (nw / nd)))))))::BIGINT AS score
+  FROM q JOIN tf USING (t) JOIN df USING (t) JOIN d0 ON d0.did = tf.did, s GROUP BY qid, tf.did),
+r AS (SELECT sc.*, d0.doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, d0.doc_id) AS rank FROM sc JOIN d0 USING (did) WHERE score > 0)
+SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM r JOIN q0 USING (qid) WHERE rank <= {k}"""
