@@ -1,25 +1,21 @@
 """Lexical retrieval packing: BM25 neighbours of a seed document fill its window.
 
-In order of id each unused document seeds a window, all documents of the corpus
-are ranked against all of the seed's terms, and unused neighbours that still fit
-go in by falling score, ties by id.
-
-The corpus is cut into shards of about ``SHARD_WORDS`` words, each with an
-inverted index of its own documents; document frequencies and the mean length
-are those of the whole corpus. Seeds are taken in batches: every shard scores
-its unused documents against every seed of the batch, the driver fills the
-windows in order. What a shard needn't send is bounded exactly: a document of at
-least T words is taken only while T words are free, and as long as they are,
-every shorter unused document with a higher score has been taken. So for each T
-of ``steps`` there is a score under which such documents can't go in (``prune``).
-Seeds before it in the batch may have taken some of these; then a seed whose
-window still has room at that score is asked again, first in the next batch.
-The work grows with the square of the corpus.
-
-Documents are laid out by language and the least hash of their terms, so that
-shards hold related documents; this doesn't change results.
-Frequencies live in a table of ``2**CELL_BITS`` hashed cells, stored as eighths
-of a power of two: 2 MB whatever the corpus, at worst an idf a little too low.
+Seeds are the stated query set, the documents whose id ``ONE_IN`` divides. Every
+seed is searched, with all its different words, against all rows of the corpus:
+``postings`` scores each document of each shard exhaustively, so no neighbour is
+lost at any size. A document that several seeds retrieve is used once: the seed
+that it matches best gets it, by score / sqrt(the seed's score of itself), which
+keeps long seeds from drawing everything. Equal matches go by a hash of both
+ids, so copies spread over the seeds among them, then by the smaller seed.
+
+A seed and the neighbours that no other seed uses are its list, best match
+first. They fill windows greedily: each goes into the seed's first window that
+has room for it, the first of which begins with the seed; if none has, it opens
+one more. So every document is placed, also those that would not have fit the
+seed's own window. Documents that match no seed follow by id in windows without one.
+
+A list may be long; it is cut into pieces of ``PIECE`` documents, numbered over
+the sorted rows by counts of the partitions, so no task holds a whole list.
 """
 
 from __future__ import annotations
@@ -28,369 +24,179 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.llm import postings as P
 from inkwell.llm import textvec as tv
-from inkwell.llm.common import ints, lower_text
-from inkwell.llm.storage import Written, prepare
+from inkwell.llm.common import ints
+from inkwell.llm.storage import Written
 
 WINDOW = 4096  # words of a window
-SHARD_WORDS = 1 << 20
-CELL_BITS = 21
-RANGE_BITS = 16  # ranges of the locality key whose sizes the driver sees
-K1, B = 1.2, 0.75
-BATCH = 512  # seeds that are scored at once, at most
-SHARE = 32  # a batch has at most one in so many of the unused documents
-REST = 1024  # so few unused documents all seed, and nothing is pruned
-SPARE = 1  # a window's candidates are those of one larger by so many windows, for what seeds before it take
-SCANS = 12  # tasks that score a batch
-N_STEPS = 96  # lengths, evenly spread over the documents, by which candidates are bounded
-_MANY = 256  # candidates of a seed that a task holds before it prunes
-_CELLS_A_BUCKET = 1 << 16
-SCHEMA = "pack_id long, shard long, seed_doc_id long, doc_ids array<long>, starts array<int>, n_words array<int>, total_words int"
-
-
-def cells(terms: np.ndarray) -> np.ndarray:
-    return terms >> (tv.TERM_BITS - CELL_BITS)
-
+ONE_IN = 100
+PIECE = 4096  # documents of a list that are packed together
+SCHEMA = "seed_doc_id long, piece long, window int, doc_ids array<long>, starts array<int>, n_words array<int>, total_words int"
+_MATCH = "shard long, row int, doc_id long, n int, seed long, score double, hash long"
 
-def locality(row: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
-    """Least hash of each row's terms, 48 bits; rows without a term get 0."""
-    first = np.searchsorted(row, np.arange(n))
-    out = np.zeros(n, np.int64)
-    has = np.searchsorted(row, np.arange(n), side="right") > first
-    if has.any():
-        h = (tv.mix(term.astype(np.uint64) + np.uint64(0xA5A5)) >> np.uint64(16)).astype(np.int64)
-        out[has] = np.minimum.reduceat(h, first[has])
-    return out
 
+def draw(doc: np.ndarray, seed: int) -> np.ndarray:
+    """What decides between equal matches."""
+    return tv.mix(doc.view(np.uint64) ^ tv.mix(np.array([seed], np.int64).view(np.uint64))).view(np.int64)
 
-def log_df(df: np.ndarray) -> np.ndarray:
-    """Frequencies as eighths of a power of two, one byte each; 0 for none."""
-    return np.where(df > 0, 1 + np.round(8 * np.log2(np.maximum(df, 1))), 0).astype(np.uint8)
 
+def own_scores(block: P.Block, idf: np.ndarray, mean: float) -> np.ndarray:
+    """Each seed's score of itself."""
+    impact = np.floor(1000 * (idf[block.term] * P.part(block.qtf.astype(float), np.repeat(block.lens, np.diff(block.at)), mean)))
+    return np.bincount(np.repeat(np.arange(len(block.ids)), np.diff(block.at)), impact, len(block.ids))
 
-def idf(logdf: np.ndarray, n_docs: int) -> np.ndarray:
-    df = np.minimum(2.0 ** ((np.maximum(logdf, 1).astype(np.float64) - 1) / 8), n_docs)
-    return np.log1p((n_docs - df + 0.5) / (df + 0.5))
 
-
-def steps(size: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Lengths from 1 up with about as many documents between them, and closer among the shortest; count: documents of each rising size."""
-    if not len(size):
-        return np.ones(1, np.int64)
-    upto = np.cumsum(count)
-    marks = np.concatenate((np.arange(1, N_STEPS) * (upto[-1] / N_STEPS), 2.0 ** np.arange(np.log2(max(upto[-1] / N_STEPS, 1)))))
-    return np.unique(np.concatenate(([1], size[np.searchsorted(upto, np.minimum(marks, upto[-1]))])))
-
-
-def prune(score: np.ndarray, rank: np.ndarray, size: np.ndarray, ids: np.ndarray, cut: np.ndarray, limit: int, at_least: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Candidates by falling score, ties by rank, without those under the score of their step; raises ``cut`` in place.
-
-    The score of step T is where documents of up to T words add up to more than ``limit`` - T.
-    """
-    order = np.lexsort((rank, -score))
-    score, rank, size, ids = score[order], rank[order], size[order], ids[order]
-    over = np.cumsum(np.where(size <= at_least[:, None], size, 0), axis=1) > (limit - at_least)[:, None]
-    full = over.any(axis=1)
-    cut[full] = np.maximum(cut[full], score[over.argmax(axis=1)[full]])
-    keep = score >= cut[np.searchsorted(at_least, size, side="right") - 1]
-    return score[keep], rank[keep], size[keep], ids[keep]
-
-
-def walk(size: np.ndarray, room: int) -> np.ndarray:
-    """Which of the sizes, in their order, go in: each that still fits."""
-    at, got = np.flatnonzero(size <= room), [np.empty(0, np.int64)]
-    while len(at):  # all that fit in a row, then past what doesn't
-        total = np.cumsum(size[at])
-        n = int(np.searchsorted(total, room, side="right"))
-        got.append(at[:n])
-        room -= int(total[n - 1])
-        at = at[n:]
-        at = at[size[at] <= room]
-    return np.concatenate(got)
-
-
-def take(score: np.ndarray, rank: np.ndarray, size: np.ndarray, cut: np.ndarray, room: int, left: np.ndarray, at_least: np.ndarray) -> np.ndarray | None:
-    """Which candidates go in, by falling score; None if one under its step's score might."""
-    here = np.flatnonzero(left[rank])
-    got = here[walk(size[here], room)]
-    used = np.concatenate(([0], np.cumsum(size[got])))
-    at = np.searchsorted(-score[got], -cut, side="right")  # taken at or above the score of each step
-    return None if ((room - used[at] >= at_least) & (cut > 0)).any() else got
-
-
-def _survey(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: sizes of ranges of the locality key, and document counts of cells."""
-    n_cells, z = 1 << CELL_BITS, zstandard
+def matches(index: DataFrame, block: P.Block) -> DataFrame:
+    """For every document its best seed of the block, and how well it matches."""
+    sc = index.sparkSession.sparkContext
+    stats = P.Statistics(index, block)
+    shared = sc.broadcast((block, stats.idf, stats.mean, own_scores(block, stats.idf, stats.mean)))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(n_cells, np.int32)
-        sizes: dict[tuple[str, int], list[int]] = {}
-        for b in it:
-            langs, (_, known) = b.column(2).to_pylist(), ints(b.column(0))
-            for lo, hi, buf, off in tv.slices(lower_text(b.column(1))):
-                terms, first = tv.words(buf, off)
-                row, term, _ = tv.counted(terms, first)
-                keep = known[lo:hi][row]
-                np.add.at(df, cells(term[keep]), 1)
-                part = locality(row, term, hi - lo) >> (48 - RANGE_BITS)
-                n_words = np.diff(first)
-                for k in np.flatnonzero((n_words > 0) & known[lo:hi]).tolist():
-                    got = sizes.setdefault((langs[lo + k] or "", int(part[k])), [0, 0])
-                    got[0] += 1
-                    got[1] += int(n_words[k])
-        if sizes:
+        block, idf, mean, own = shared.value
+        for number, shard in P.shards(it, block, idf, mean):
+            n = len(shard.ids)
+            best, who, luck = np.zeros(n), np.full(n, -1), np.zeros(n, np.int64)
+            for i, score in shard.scores(block, False):
+                if own[i] <= 0:
+                    continue
+                score /= np.sqrt(own[i])
+                at = np.flatnonzero((score >= best) & (score > 0))
+                new = draw(shard.ids[at], block.ids[i])
+                wins = (score[at] > best[at]) | (new > luck[at]) | (who[at] < 0)
+                at = at[wins]
+                best[at], who[at], luck[at] = score[at], i, new[wins]
+            some = who >= 0
+            seed = np.array(block.ids or [0], np.int64)[np.maximum(who, 0)]
+            keep = np.flatnonzero(shard.sizes > 0)
             yield pa.record_batch(
-                [pa.array([k[0] for k in sizes]), pa.array([k[1] for k in sizes], pa.int32()), pa.array([v[0] for v in sizes.values()], pa.int64()), pa.array([v[1] for v in sizes.values()], pa.int64()), pa.nulls(len(sizes), pa.binary())],
-                ["lang", "part", "docs", "words", "payload"],
+                [pa.array(np.full(len(keep), number)), pa.array(keep.astype(np.int32)), pa.array(shard.ids[keep]), pa.array(shard.sizes[keep]), pa.array(seed[keep], mask=~some[keep]), pa.array(best[keep]), pa.array(luck[keep])],
+                ["shard", "row", "doc_id", "n", "seed", "score", "hash"],
             )
-        for k in range(n_cells // _CELLS_A_BUCKET):
-            piece = df[k * _CELLS_A_BUCKET : (k + 1) * _CELLS_A_BUCKET]
-            if piece.any():
-                yield pa.record_batch([pa.nulls(1, pa.string()), pa.array([k], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([z.ZstdCompressor(1).compress(piece.tobytes())], pa.binary())], ["lang", "part", "docs", "words", "payload"])
-
-    return docs.mapInArrow(run, "lang string, part int, docs long, words long, payload binary")
 
+    return index.select(*P.COLUMNS).mapInArrow(run, _MATCH)
 
-def _total(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up the cell counts of each bucket."""
-    held: dict[int, np.ndarray] = {}
-    z = zstandard.ZstdDecompressor()
-    for b in it:
-        for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            got = np.frombuffer(z.decompress(raw), np.int32)
-            held[k] = held[k] + got if k in held else got.astype(np.int64)
-    for k, v in held.items():
-        yield pa.record_batch([pa.array([k], pa.int32()), pa.array([log_df(v).tobytes()], pa.binary())], ["part", "payload"])
 
+def fill(sizes: np.ndarray, window: int) -> tuple[np.ndarray, int]:
+    """(window of each size, number of windows): each goes into the first window that has room."""
+    rooms, n, out = np.zeros(64, np.int64), 0, np.empty(len(sizes), np.int64)
+    for k, size in enumerate(sizes.tolist()):
+        at = int(np.argmax(rooms[:n] >= size)) if n else 0
+        if not n or rooms[at] < size:
+            at, n = n, n + 1
+            if n > len(rooms):
+                rooms = np.concatenate((rooms, np.zeros(len(rooms), np.int64)))
+            rooms[at] = window
+        rooms[at] -= size
+        out[k] = at
+    return out, n
 
-def shard_plan(sizes: list[tuple[str, int, int]], shard_words: int = SHARD_WORDS) -> dict[tuple[str, int], tuple[int, int]]:
-    """(first shard, number of shards) of each (language, range): neighbours share one up to its size, a larger range is split by id."""
-    plan, shard, held = {}, 0, 0
-    for lang, part, words in sorted(sizes):
-        if held and held + words > shard_words:
-            shard, held = shard + 1, 0
-        if words > shard_words:
-            n = -(-words // shard_words)
-            plan[lang, part] = (shard, n)
-            shard, held = shard + n, 0
-        else:
-            plan[lang, part] = (shard, 1)
-            held += words
-    return plan
 
-
-def pack(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, batch: int | None = None) -> DataFrame:
-    """One row per window: pack_id, shard, seed, and the documents with their first word and word count.
+def pack(docs: DataFrame, window: int = WINDOW, one_in: int = ONE_IN, piece: int = PIECE) -> DataFrame:
+    """One row per window: its seed (null: none), the piece of the seed's list, the window's number in it, and the documents with first word and word count.
 
     Each document row with an id and a word is placed exactly once (a text
-    longer than a window in consecutive pieces). Rows with a null id, and null
-    or wordless texts, hold nothing to place and are left out; a null or
-    missing language counts as "". Rows that repeat an id are placed each.
-    Equal scores go by doc_id. An empty table gives no windows. Other columns
-    aren't read. ``shard`` is that of the seed. ``batch``: seeds scored at once;
-    results don't depend on it or on ``shard_words``.
+    longer than a window in consecutive pieces: its full windows hold it alone,
+    the rest is packed). Rows with a null id, and null or wordless texts, hold
+    nothing to place and are left out. Rows that repeat an id are placed each;
+    those that repeat a seed's id come first in its list, and the least of their
+    texts is the query. Equal matches of a seed are ordered by doc_id, then by
+    word count. No seed at all: all documents follow by id. An empty table gives
+    no windows. Other columns aren't read.
     """
     spark = docs.sparkSession
-    prepare(spark)
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"))
-    # One pass over the texts, then fixed-size results: cells added up by bucket, sizes by range.
-    survey = _survey(docs).repartition("part")
-    cell_rows = Written(survey, "survey")
-    counts = cell_rows.df.where("payload is not null").select("part", "payload").repartition("part").mapInArrow(_total, "part int, payload binary").collect()
-    sized = cell_rows.df.where("payload is null").groupBy("lang", "part").agg(F.sum("docs").alias("docs"), F.sum("words").alias("words")).collect()
-    cell_rows.drop()
-    table = np.zeros(1 << CELL_BITS, np.uint8)
-    for r in counts:
-        table[r.part * _CELLS_A_BUCKET : (r.part + 1) * _CELLS_A_BUCKET] = np.frombuffer(r.payload, np.uint8)
-    n_docs, n_words = sum(r.docs for r in sized), sum(r.words for r in sized)
-    mean = n_words / max(n_docs, 1)
-    shared = spark.sparkContext.broadcast((table, shard_plan([(r.lang, r.part, r.words) for r in sized], shard_words)))
-
-    def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logdf, plan = shared.value
-        for b in it:
-            langs, (ids, known) = b.column(2).to_pylist(), ints(b.column(0))
-            for lo, hi, buf, off in tv.slices(lower_text(b.column(1))):
-                terms, first = tv.words(buf, off)
-                row, term, tf = tv.counted(terms, first)
-                part = locality(row, term, hi - lo) >> (48 - RANGE_BITS)
-                seen = logdf[cells(term)] > 1  # a cell of one document can't lead to another
-                row, term, tf = row[seen], (term[seen] >> (tv.TERM_BITS - 32)).astype(np.uint32), np.minimum(tf[seen], 65535).astype(np.uint16)
-                cut = np.searchsorted(row, np.arange(hi - lo + 1))
-                salt = tv.mix(ids[lo:hi].astype(np.uint64))
-                n = np.diff(first)
-                use = [k for k in range(hi - lo) if n[k] and known[lo + k]]
-                where = [plan[langs[lo + k] or "", int(part[k])] for k in use]
-                yield pa.record_batch(
-                    [
-                        pa.array([w[0] + int(salt[k] % np.uint64(w[1])) for k, w in zip(use, where)], pa.int64()),
-                        pa.array(ids[lo:hi][use], pa.int64()),
-                        pa.array(n[use].astype(np.int32)),
-                        pa.array([term[cut[k] : cut[k + 1]].tobytes() for k in use], pa.binary()),
-                        pa.array([tf[cut[k] : cut[k + 1]].tobytes() for k in use], pa.binary()),
-                    ],
-                    ["shard", "doc_id", "n", "terms", "tfs"],
-                )
-
-    laid = Written(docs.mapInArrow(send, "shard long, doc_id long, n int, terms binary, tfs binary"), "laid")
-    by = ["doc_id", "n", "terms", "tfs"]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    index = P.build(docs)
+    seeds = docs.where((F.col("doc_id") % one_in == 0) & F.col("text").isNotNull()).groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id")
+    found, several = None, False
+    for block in P.blocks(seeds):
+        got = Written(matches(index.df, block), "matches").df
+        several = found is not None
+        found = got if found is None else found.unionByName(got)
+    if several:
+        top = F.max_by(F.struct("doc_id", "n", "seed", "score"), F.struct("score", "hash", -F.col("seed")))
+        found = found.groupBy("shard", "row").agg(top.alias("x")).select("x.*")
+    index.drop()
+    # a row of a seed's id belongs to that seed
+    own = F.col("doc_id") % one_in == 0
+    rows = found.select("doc_id", "n", F.when(own, F.col("doc_id")).otherwise(F.col("seed")).alias("seed"), F.when(own, F.lit(0)).otherwise(F.lit(1)).alias("later"), F.when(F.col("seed").isNull() | own, F.lit(0.0)).otherwise(-F.col("score")).alias("score"))
+    by = [F.col("seed").asc_nulls_first(), F.col("later"), F.col("score"), F.col("doc_id"), F.col("n")]
 
     def number(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = TaskContext.get().partitionId() << 32
+        part, run, last, at = TaskContext.get().partitionId(), 0, None, 0
         for b in it:
-            yield pa.record_batch([*b.columns, pa.array(np.arange(n, n + b.num_rows))], [*b.schema.names, "key"])
-            n += b.num_rows
-
-    rows = Written(laid.df.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(number, "shard long, doc_id long, n int, terms binary, tfs binary, key long"), "rows")
-    laid.drop()
-    counted = rows.df.groupBy(F.shiftright("key", 32).alias("part")).count().orderBy("part").collect()
-    parts, counts = np.array([r.part for r in counted], np.int64), np.array([r["count"] for r in counted], np.int64)
-    begin = np.cumsum(counts) - counts
-
-    def ranks(key: np.ndarray) -> np.ndarray:
-        return begin[np.searchsorted(parts, key >> 32)] + (key & 0xFFFFFFFF)
-
-    def keys(rank: np.ndarray) -> np.ndarray:
-        p = np.searchsorted(begin, rank, side="right") - 1
-        return (parts[p] << 32) | (rank - begin[p])
-
-    def shards(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seed, known = ints(b.column(2))
+            pos = np.arange(b.num_rows)
+            new = np.ones(b.num_rows, bool)
+            new[1:] = (seed[1:] != seed[:-1]) | (known[1:] != known[:-1])
+            if b.num_rows:
+                new[0] = last is None or last != (seed[0], known[0])
+                start = np.maximum.accumulate(np.where(new, pos, -1))
+                runs = np.where(start >= 0, pos - start, pos + run)
+                run, last = int(runs[-1]) + 1, (seed[-1], known[-1])
+                yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(np.full(b.num_rows, part, np.int32)), pa.array(pos + at), pa.array(runs)], ["doc_id", "n", "seed", "part", "at", "run"])
+                at += b.num_rows
+
+    listed = Written(rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(number, "doc_id long, n int, seed long, part int, at long, run long"), "listed")
+    ends = listed.df.groupBy("part").agg(F.min_by(F.struct("seed"), "at").alias("a"), F.max_by(F.struct("seed", "run"), "at").alias("z")).orderBy("part").collect()
+    before, carried = {}, None  # rows of a partition's first list that earlier partitions have
+    for e in ends:
+        before[e.part] = (e.a.seed, carried[1] if carried and carried[0] == e.a.seed else 0)
+        carried = (e.z.seed, e.z.run + 1 + (before[e.part][1] if e.z.seed == e.a.seed else 0))
+
+    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            seed, known = ints(b.column(2))
+            run = b.column(5).to_numpy().copy()
+            part = b.column(3).to_numpy()
+            for p in np.unique(part).tolist():
+                first, extra = before[p]
+                here = (part == p) & (~known if first is None else known & (seed == first))
+                run[here] += extra
+            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(run // piece), pa.array(run % piece)], ["doc_id", "n", "seed", "piece", "pos"])
+
+    def windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         now = None
-        for b in it:  # sorted by shard
-            shard = b.column(0).to_numpy()
-            cut = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(shard) else []
-            for lo, hi in zip(cut, [*cut[1:], len(shard)]):
-                if held and shard[lo] != now:
-                    yield one(held)
+        for b in it:  # sorted by seed and piece
+            seed, known = ints(b.column(2))
+            no = b.column(3).to_numpy()
+            edge = np.flatnonzero(np.concatenate(([True], (seed[1:] != seed[:-1]) | (known[1:] != known[:-1]) | (no[1:] != no[:-1])))) if b.num_rows else []
+            for lo, hi in zip(edge, [*edge[1:], b.num_rows]):
+                key = (seed[lo] if known[lo] else None, no[lo])
+                if held and key != now:
+                    yield one(held, now)
                     held = []
-                now = shard[lo]
+                now = key
                 held.append(b.slice(int(lo), int(hi - lo)))
         if held:
-            yield one(held)
+            yield one(held, now)
 
-    def one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        """The inverted index of a shard; documents longer than the window are never neighbours."""
+    def one(held: list[pa.RecordBatch], key: tuple) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
-        raw = t["terms"].to_pylist()
-        term = np.frombuffer(b"".join(raw), np.uint32)
-        tf = np.frombuffer(b"".join(t["tfs"].to_pylist()), np.uint16)
-        who = np.repeat(np.arange(len(raw), dtype=np.int32), [len(x) // 4 for x in raw])
-        order = np.argsort(term, kind="stable")
-        vocab, n = np.unique(term, return_counts=True)
-        arrays = [ranks(t["key"].to_numpy()), t["doc_id"].to_numpy(), t["n"].to_numpy().astype(np.int64), vocab, n.astype(np.int64), who[order], tf[order]]
-        return pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in arrays], names)
-
-    names = ["ranks", "ids", "sizes", "vocab", "counts", "who", "tf"]
-    kinds = [np.int64, np.int64, np.int64, np.uint32, np.int64, np.int32, np.uint16]
-    index = Written(rows.df.select("shard", "doc_id", "n", "terms", "tfs", "key").repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(shards, ", ".join(f"{x} binary" for x in names)), "index")
-    spread = rows.df.where(F.col("n") <= window).groupBy("n").count().orderBy("n").collect()
-    at_least = steps(np.array([r.n for r in spread], np.int64), np.array([r["count"] for r in spread], np.int64))
-    found = "seed int, score binary, rank binary, size binary, id binary, cut binary"
-
-    def row(seed: int, got: tuple[np.ndarray, ...], cut: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([seed], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (*got, cut)]], ["seed", "score", "rank", "size", "id", "cut"])
-
-    def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Candidates of each seed among the unused documents of the task's shards."""
-        logdf, _ = shared.value
-        terms, first, me, room, slack, bits = asked.value
-        left = np.unpackbits(bits).view(bool)
-        cuts = np.zeros((len(me), len(at_least)))
-        held: list[tuple[np.ndarray, ...] | None] = [None] * len(me)
-        for r in (r for b in it for r in zip(*(c.to_pylist() for c in b.columns))):
-            rank, ids, size, vocab, n, who, tf = (np.frombuffer(x, k) for x, k in zip(r, kinds))
-            free = left[rank] & (size <= window)
-            rank, ids, size_free = rank[free], ids[free], size[free]
-            if not len(rank) or not len(vocab):
-                continue
-            weight = np.repeat(idf(logdf[vocab >> np.uint32(32 - CELL_BITS)], n_docs), n)
-            keep = free[who]
-            at = np.concatenate(([0], np.cumsum(keep)))[np.concatenate(([0], np.cumsum(n)))]
-            who = (np.cumsum(free) - 1)[who[keep]]
-            tf, size = tf[keep].astype(np.float64), size_free
-            impact = weight[keep] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[who] / max(mean, 1e-9)))
-            step = np.searchsorted(at_least, size, side="right") - 1
-            t = np.minimum(np.searchsorted(vocab, terms), len(vocab) - 1)
-            many = np.where(vocab[t] == terms, at[t + 1] - at[t], 0)
-            start = at[t]
-            for s in range(len(me)):
-                lo, hi = first[s], first[s + 1]
-                post = tv.ragged(start[lo:hi], many[lo:hi])
-                if not len(post):
-                    continue
-                score = np.bincount(who[post], impact[post], len(rank))
-                new = np.flatnonzero((score > 0) & (score >= cuts[s][step]) & (size <= room[s]) & (rank != me[s]))
-                if not len(new):
-                    continue
-                got = (score[new], rank[new], size[new], ids[new])
-                if held[s] is not None:
-                    got = tuple(np.concatenate(x) for x in zip(held[s], got))
-                held[s] = prune(*got, cuts[s], room[s] + slack, at_least) if len(got[0]) > _MANY else got
-        for s, got in enumerate(held):
-            if got is not None:
-                yield row(s, prune(*got, cuts[s], room[s] + slack, at_least), cuts[s])
-
-    def merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Candidates of each seed among all unused documents."""
-        _, _, _, room, slack, _ = asked.value
-        held: dict[int, list[tuple]] = {}
-        for b in it:
-            for seed, *got in zip(*(c.to_pylist() for c in b.columns)):
-                held.setdefault(seed, []).append(tuple(got))
-        for seed, got in held.items():
-            cut = np.max([np.frombuffer(x[4]) for x in got], axis=0)
-            arrays = [np.concatenate([np.frombuffer(x[k], kind) for x in got]) for k, kind in enumerate((np.float64, np.int64, np.int64, np.int64))]
-            yield row(seed, prune(*arrays, cut, room[seed] + slack, at_least), cut)
-
-    packs = Written(spark.createDataFrame([], SCHEMA), "packs")
-    left = np.ones(int(counts.sum()), bool)
-    begun, pack_id, n_left = 0, 0, len(left)
-    while n_left:
-        few = n_left <= REST if batch is None else False
-        most = REST if few else batch or max(1, min(BATCH, n_left // SHARE))
-        want = np.flatnonzero(left[begun:])[:most] + begun
-        k = keys(want)
-        seeds = rows.df.where(F.col("key").isin(k.tolist())).select("key", "shard", "doc_id", "n", "terms").toArrow().sort_by("key")
-        ids, size, shard = seeds["doc_id"].to_numpy(), seeds["n"].to_numpy().astype(np.int64), seeds["shard"].to_numpy()
-        whole, rest = np.divmod(size, window)
-        room = np.where(rest > 0, window - rest, 0)  # nothing is left of a document that ends with a window
-        raw = [x if r else b"" for x, r in zip(seeds["terms"].to_pylist(), room.tolist())]
-        first = np.concatenate(([0], np.cumsum([len(x) // 4 for x in raw])))
-        asked = spark.sparkContext.broadcast((np.frombuffer(b"".join(raw), np.uint32), first, want, room, n_words if few else window * SPARE, np.packbits(left)))
-        got = index.df.coalesce(SCANS).mapInArrow(scan, found).repartition("seed").mapInArrow(merge, found).toArrow()
-        asked.unpersist()
-        answers = {seed: x for seed, *x in zip(*(c.to_pylist() for c in got.columns))}
-        out: list[tuple] = []
-        for s, r in enumerate(want.tolist()):
-            if left[r]:
-                docs_, starts, sizes = [int(ids[s])], [int(whole[s]) * window], [int(rest[s])]
-                taken = []
-                if s in answers:
-                    score, rank, n, id_, cut = (np.frombuffer(x, kind) for x, kind in zip(answers[s], (np.float64, np.int64, np.int64, np.int64, np.float64)))
-                    k = take(score, rank, n, cut, int(room[s]), left, at_least)
-                    if k is None:
-                        break
-                    taken, docs_, starts, sizes = rank[k], docs_ + id_[k].tolist(), starts + [0] * len(k), sizes + n[k].tolist()
-                left[r] = False
-                left[taken] = False
-                out += [(int(shard[s]), int(ids[s]), [int(ids[s])], [w * window], [window]) for w in range(int(whole[s]))]
-                if rest[s]:
-                    out.append((int(shard[s]), int(ids[s]), docs_, starts, sizes))
-                n_left -= 1 + len(taken)
-            begun = r + 1
-        columns = [range(pack_id, pack_id + len(out)), *zip(*out), [sum(x[4]) for x in out]]
-        schema = packs.df.schema
-        pack_id += len(out)
-        if out:
-            table_ = pa.table([pa.array(list(c), kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32()))], names=schema.names)
-            spark.createDataFrame(table_, schema).coalesce(1).write.mode("append").parquet(packs.path)
-    rows.drop()
-    index.drop()
-    return packs.df
+        ids, n = t["doc_id"].to_numpy(), t["n"].to_numpy().astype(np.int64)
+        whole, rest = np.divmod(n, window)
+        full = np.flatnonzero(whole)
+        use = np.flatnonzero(rest)
+        at, count = fill(rest[use], window)
+        order = use[np.argsort(at, kind="stable")]
+        alone = np.repeat(full, whole[full])
+        lens = np.concatenate((np.bincount(at, minlength=count), np.ones(len(alone), np.int64)))
+        off = pa.array(np.concatenate(([0], np.cumsum(lens))).astype(np.int32))
+        doc = np.concatenate((ids[order], ids[alone]))
+        start = np.concatenate((whole[order] * window, tv.ragged(np.zeros(len(full), np.int64), whole[full]) * window)).astype(np.int32)
+        words = np.concatenate((rest[order], np.full(len(alone), window))).astype(np.int32)
+        total = np.add.reduceat(words, off.to_numpy()[:-1]) if len(lens) else words
+        k = len(lens)
+        return pa.record_batch(
+            [pa.array([key[0]] * k, pa.int64()), pa.array([key[1]] * k, pa.int64()), pa.array(np.arange(k, dtype=np.int32)), pa.ListArray.from_arrays(off, pa.array(doc)), pa.ListArray.from_arrays(off, pa.array(start)), pa.ListArray.from_arrays(off, pa.array(words)), pa.array(total.astype(np.int32))],
+            ["seed_doc_id", "piece", "window", "doc_ids", "starts", "n_words", "total_words"],
+        )
+
+    pieces = listed.df.mapInArrow(cut, "doc_id long, n int, seed long, piece long, pos long")
+    return pieces.repartition("seed", "piece").sortWithinPartitions("seed", "piece", "pos").mapInArrow(windows, SCHEMA)
