@@ -8,7 +8,9 @@ group of copies makes one larger than another. Queries come in blocks of a
 bounded size; a block is broadcast and meets every shard.
 
 Impacts are BM25 in whole thousandths, floor(1000 * idf * tf part), so sums are
-exact and don't depend on their order.
+exact and don't depend on their order. Terms that many of a shard's documents
+have are kept as dense rows, and a chunk of queries meets them in one matrix
+product; it runs in single precision where no sum can pass 2**24, else in double.
 """
 
 from __future__ import annotations
@@ -26,26 +28,35 @@ from inkwell.llm.common import ints, lower_text
 from inkwell.llm.storage import Written, prepare
 
 K1, B = 1.2, 0.75
-SHARD_DOCS = 1 << 12  # a document's number and a term share a 64-bit key
-SHARD_BYTES = 16_000_000
+DOC_BITS = 14
+SHARD_DOCS = 1 << DOC_BITS  # a document's number and a term share a 64-bit key
+SHARD_BYTES = 48_000_000
+DENSE = 0.06  # share of a shard's documents from which a term's postings are a dense row
+CHUNK = 128  # queries of one matrix product
 QUERY_BYTES = 16_000_000  # query text of one block; more queries make several
-_LOW = np.uint64(SHARD_DOCS - 1)
+_TERM_BITS = 48
+_TERM = _TERM_BITS // 8  # bytes of a stored term
 _ARRAYS = {"ids": np.int64, "sizes": np.int32, "vocab": np.uint8, "counts": np.int32, "who": np.uint16, "tf": np.uint8, "big_at": np.int32, "big_tf": np.int32}
 SCHEMA = "shard long, docs int, words long, " + ", ".join(f"{x} binary" for x in _ARRAYS)
-_TERM = (tv.TERM_BITS + 7) // 8  # bytes of a stored term
+
+
+def short(terms: np.ndarray) -> np.ndarray:
+    """The leading 48 bits of terms: 10**8 distinct words collide about twenty times."""
+    return terms >> (tv.TERM_BITS - _TERM_BITS)
 
 
 def _shard(ids: np.ndarray, terms: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-    key = (terms.astype(np.uint64) << np.uint64(12)) | np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+    low = np.uint64(DOC_BITS)
+    key = (terms.astype(np.uint64) << low) | np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
     key.sort()
     new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
     tf = np.diff(np.append(new, len(key)))
     key = key[new]
-    term = key >> np.uint64(12)
+    term = key >> low
     at = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))) if len(term) else np.empty(0, np.int64)
     vocab = term[at].view(np.uint8).reshape(-1, 8)[:, :_TERM]
     big = np.flatnonzero(tf >= 255)
-    return [ids, sizes, vocab, np.diff(np.append(at, len(term))), key & _LOW, np.minimum(tf, 255), big, tf[big]]
+    return [ids, sizes, vocab, np.diff(np.append(at, len(term))), key & np.uint64(SHARD_DOCS - 1), np.minimum(tf, 255), big, tf[big]]
 
 
 def build(docs: DataFrame) -> Written:
@@ -76,7 +87,7 @@ def build(docs: DataFrame) -> Written:
                     yield flush()
                 t, first = tv.words(buf, off)
                 ids.append(name[lo:hi])
-                terms.append(t)
+                terms.append(short(t))
                 sizes.append(np.diff(first))
                 n, size = n + hi - lo, size + len(buf)
         if n:
@@ -93,7 +104,7 @@ class Block:
         terms, lens = [], []
         for lo, hi, buf, off in tv.slices(lower_text(pa.array([t or "" for _, t in rows], pa.large_string()))):
             t, first = tv.words(buf, off)
-            terms.append(t)
+            terms.append(short(t))
             lens.append(np.diff(first))
         self.lens = np.concatenate(lens) if lens else np.empty(0, np.int64)
         flat = np.concatenate(terms) if terms else np.empty(0, np.int64)
@@ -174,33 +185,57 @@ class Shard:
         at, there = _find(_vocab(vocab), block.vocab)
         start, n = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))[at], counts[at].astype(np.int64)
         post = tv.ragged(start, n)
-        self.begin = np.zeros(len(block.vocab) + 1, np.int64)
-        self.begin[there + 1] = n
-        np.cumsum(self.begin, out=self.begin)
+        begin = np.zeros(len(block.vocab) + 1, np.int64)
+        begin[there + 1] = n
+        self.begin = np.cumsum(begin)
         f = tf.astype(np.int64)
         f[big_at] = big_tf
-        f, d = f[post].astype(float), who[post].astype(np.int64)
+        f, d = f[post].astype(float), who[post]
         impact = np.floor(1000 * (np.repeat(idf[there], n) * part(f, sizes[d], mean)))
-        self.packed = (impact.astype(np.int64) << np.int64(12)) | d
+        self.packed = (impact.astype(np.uint32) << np.uint32(DOC_BITS)) | d
+        often = np.flatnonzero(n >= max(8, DENSE * len(ids)))
+        self.dense = np.full(len(block.vocab), -1, np.int32)
+        self.dense[there[often]] = np.arange(len(often))
+        self.rows = np.zeros((len(often), len(ids)), np.float32)  # impacts are below 2**18
+        where = np.repeat(self.dense[there], n)
+        some = np.flatnonzero(where >= 0)
+        self.rows[where[some], d[some]] = impact[some]
+        self.most = self.rows.max(axis=1, initial=0.0).astype(float)
 
     def scores(self, block: Block, counted: bool) -> Iterator[tuple[int, np.ndarray]]:
         """(query, dense array of its scores): each of its terms scatters its weighted postings. ``counted``: terms weigh as often as the query has them."""
-        begin, packed, n_docs, low = self.begin, self.packed, len(self.ids), np.int64(SHARD_DOCS - 1)
-        first, last = begin[:-1][block.term], begin[1:][block.term]
-        some = last > first
-        for i in range(len(block.ids)):
-            lo, hi = block.at[i], block.at[i + 1]
-            keep = some[lo:hi]
-            a, z = first[lo:hi][keep], last[lo:hi][keep]
-            if not len(a):
-                continue
-            v = np.concatenate([packed[x:y] for x, y in zip(a.tolist(), z.tolist())])
-            w = (v >> np.int64(12)).astype(np.float64)
-            if counted:
-                q = block.qtf[lo:hi][keep]
-                if q.max() > 1:
-                    w *= np.repeat(q, z - a)
-            yield i, np.bincount(v & low, w, n_docs)
+        packed, n_docs, bits, low = self.packed, len(self.ids), np.uint32(DOC_BITS), np.uint32(SHARD_DOCS - 1)
+        first, last = self.begin[:-1][block.term], self.begin[1:][block.term]
+        row = self.dense[block.term]
+        sparse = (last > first) & (row < 0)
+        weight = block.qtf.astype(float) if counted else np.ones(len(row))
+        wide = None
+        for base in range(0, len(block.ids), CHUNK):
+            top = min(base + CHUNK, len(block.ids))
+            mine = slice(block.at[base], block.at[top])
+            use = np.flatnonzero(row[mine] >= 0) + mine.start
+            ask = np.zeros((top - base, len(self.rows)))
+            ask[np.searchsorted(block.at, use, side="right") - 1 - base, row[use]] = weight[use]
+            if (ask @ self.most).max(initial=0.0) < 1 << 24:
+                dense = (ask.astype(np.float32) @ self.rows).astype(float)
+            else:
+                wide = self.rows.astype(float) if wide is None else wide
+                dense = ask @ wide
+            for i in range(base, top):
+                lo, hi = block.at[i], block.at[i + 1]
+                keep = sparse[lo:hi]
+                a, z = first[lo:hi][keep], last[lo:hi][keep]
+                score = dense[i - base]
+                if len(a):
+                    v = np.concatenate([packed[x:y] for x, y in zip(a.tolist(), z.tolist())])
+                    w = (v >> bits).astype(np.float64)
+                    if counted:
+                        q = block.qtf[lo:hi][keep]
+                        if q.max() > 1:
+                            w *= np.repeat(q, z - a)
+                    score = score + np.bincount(v & low, w, n_docs)
+                if lo < hi:
+                    yield i, score
 
 
 def shards(it: Iterator[pa.RecordBatch], block: Block, idf: np.ndarray, mean: float) -> Iterator[tuple[int, Shard]]:

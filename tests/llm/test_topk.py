@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from inkwell.llm import postings, topk
+from inkwell.llm import textvec as tv
 
 
 def sql_result(docs, items, k=topk.K):
@@ -56,3 +57,24 @@ def test_many_shards_and_large_frequencies(spark):
     d, q = spark.createDataFrame(docs, "doc_id long, text string").repartition(7), spark.createDataFrame(items, "query_id long, text string")
     assert postings.build(d).df.count() > 3  # a shard or more a task
     assert sorted(tuple(r) for r in topk.search(d, q, 5).collect()) == sorted(map(tuple, sql_result(docs, items, 5)))
+
+
+def test_dense_rows_and_double_precision_give_the_same_sums():
+    rng = np.random.default_rng(2)
+    words = [[f"w{min(int(x), 60)}" for x in rng.exponential(8, rng.integers(1, 60))] for _ in range(300)]
+    words[0] = ["w1"] * 40_000  # weights past single precision
+    block = postings.Block([(i, " ".join(w)) for i, w in enumerate(words[:50])])
+    size = np.array([len(w) for w in words])
+    flat = postings.short(np.array([tv.term_of(x) for w in words for x in w]))
+    row = tuple(x.astype(kind).tobytes() for x, kind in zip(postings._shard(np.arange(300), flat, size), postings._ARRAYS.values()))
+    idf = rng.random(len(block.vocab)) * 20
+    shard = postings.Shard(row, block, idf, 30.0)
+    assert 0 < len(shard.rows) < len(block.vocab)
+    for counted in (True, False):
+        for i, score in shard.scores(block, counted):
+            lo, hi = block.at[i], block.at[i + 1]
+            want = np.zeros(300)
+            for t, n in zip(block.term[lo:hi], block.qtf[lo:hi]):
+                tf = np.bincount(np.repeat(np.arange(300), size)[flat == block.vocab[t]], minlength=300)
+                want += np.floor(1000 * (idf[t] * postings.part(tf.astype(float), size, 30.0))) * (n if counted else 1)
+            assert (score == want).all()
