@@ -1,14 +1,18 @@
 """Near-duplicate removal: SimHash fingerprints, covering locality-sensitive hashing.
 
-A fingerprint has ``PARTS`` words of 64 bits; each distinct term of a document
-has one vote on each bit. For one word and
-radius rho, bit i gets a random vector m(i) of rho+1 bits, and for every
-nonzero v there is a table keyed by the bits with <m(i), v> odd. The m(i) of at
-most rho differing bits span less than the whole space, so some v is orthogonal
-to all of them and the pair has the same key in that table. Two fingerprints
-within ``RADIUS`` = PARTS*(rho+1)-1 bits have a word with at most rho differing
-bits, so they meet for certain. Pairs that meet and differ in at most
-``ACCEPT`` bits are linked; groups are the connected components.
+A fingerprint has 256 bits; each distinct term of a document has one vote on
+each. A cover cuts the bits into words. For a word and a radius rho, bit i gets
+a vector m(i) of rho+1 bits, and for every nonzero v there is a table keyed by
+the bits with <m(i), v> odd. The m(i) of at most rho differing bits span less
+than the whole space, so some v is orthogonal to all of them and the pair has
+the same key in that table. Two fingerprints within words*(rho+1)-1 bits have a
+word with at most rho differing bits, so they meet for certain. All covers in
+``COVERS`` reach ``ACCEPT``, so every pair within ``ACCEPT`` bits is found and
+linked, whichever is taken; which one is cheapest depends on the number of
+fingerprints. Groups are the connected components.
+
+Tables travel in units of up to three that share some bits of their keys: a
+fingerprint is sent once to the unit's bucket of those bits.
 """
 
 from __future__ import annotations
@@ -17,28 +21,87 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import textvec as tv
 from inkwell.llm.common import ints, lower_text, without_ids
 from inkwell.llm.storage import Written, prepare
 
-PARTS = 4
-RHO = 4
-RADIUS = PARTS * (RHO + 1) - 1
+PARTS = 4  # 64-bit words of a fingerprint
 ACCEPT = 38
-_ALL_PAIRS = 24  # runs of equal keys up to this size are compared pair by pair
-
-
-def masks(rho: int = RHO, seed: int = 7) -> np.ndarray:
-    """The 2**(rho+1)-1 covering masks of a 64-bit word."""
-    m = np.random.default_rng(seed).integers(0, 2 ** (rho + 1), 64, dtype=np.int64)
-    out = np.zeros(2 ** (rho + 1) - 1, np.uint64)
-    for v in range(1, 2 ** (rho + 1)):
-        odd = np.bitwise_count(m & v) & 1
-        out[v - 1] = np.bitwise_or.reduce(np.where(odd == 1, np.uint64(1) << np.arange(64, dtype=np.uint64), np.uint64(0)))
-    return out
+COVERS = ((8, 4), (7, 5), (6, 6), (5, 7), (4, 9))  # (words, rho)
+LONG = 48  # bytes
+_ALL_PAIRS = 2048  # runs of equal keys up to this size are compared pair by pair
+_ROWS = 50_000  # fingerprints that are compared at once, whole buckets
+_REDUCE = 1_000_000  # links held before they are reduced to a forest
+
+
+class Cover:
+    """The masks of a cover: of each table its word and the bits of its key."""
+
+    def __init__(self, words: int, rho: int, share: int = 3, bits: int = 64 * PARTS):
+        self.words, self.rho = words, rho
+        self.radius = words * (rho + 1) - 1
+        self.cuts = [bits * p // words for p in range(words + 1)]
+        self.units: list[tuple[int, np.uint64, list[np.uint64]]] = []  # word, shared bits, masks of its tables
+        rng = np.random.default_rng(7)
+        top = 1 << (rho + 1)
+        for p in range(words):
+            w = self.cuts[p + 1] - self.cuts[p]
+            m = np.concatenate([rng.permutation(top - 1) + 1 for _ in range(-(-w // (top - 1)))])[:w]
+            masks = {v: int(np.bitwise_or.reduce(np.where(np.bitwise_count(m & v) & 1, np.uint64(1) << np.arange(w, dtype=np.uint64), np.uint64(0)))) for v in range(1, top)}
+            left = list(masks)
+            while left:
+                mine = [left.pop(0)]
+                both = masks[mine[0]]
+                while left and len(mine) < share:
+                    v = max(left, key=lambda x: ((both & masks[x]).bit_count(), -x))
+                    if not both & masks[v]:
+                        break
+                    left.remove(v)
+                    mine.append(v)
+                    both &= masks[v]
+                self.units.append((p, np.uint64(both), [np.uint64(masks[v]) for v in mine]))
+
+    @property
+    def tables(self) -> int:
+        return self.words * ((2 << self.rho) - 1)
+
+    def word(self, fps: np.ndarray, p: int) -> np.ndarray:
+        a, b = self.cuts[p], self.cuts[p + 1]
+        k, off = divmod(a, 64)
+        out = fps[:, k] >> np.uint64(off)
+        if b > 64 * (k + 1):
+            out = out | (fps[:, k + 1] << np.uint64(64 - off))
+        return out & np.uint64((1 << (b - a)) - 1)
+
+
+def choose(n: int, accept: int = ACCEPT) -> Cover:
+    """The cheapest cover for n fingerprints among those that reach ``accept``: tables cost by rows, and by the pairs with equal keys (measured about eight times those of even bits)."""
+    fit = [c for c in COVERS if c[0] * (c[1] + 1) - 1 >= accept]
+    if not fit:
+        raise ValueError(f"no cover reaches {accept} bits")
+    words, rho = min(fit, key=lambda c: c[0] * ((2 << c[1]) - 1) * (400 + 240 * n / 2 ** (32 * PARTS / c[0] + 1)))
+    wide = 64 * PARTS / words
+    share = next((g for g in (3, 2) if n / 2 ** (wide / 2**g) <= 1 << 18), 1)
+    return Cover(words, rho, share)
+
+
+def votes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(term of each word, first of each row and the end); a word of over ``LONG`` bytes, as scripts without spaces have them, counts as its runs of three characters."""
+    starts, ends = tv.word_spans(buf, off)
+    long = ends - starts > LONG
+    if long.any():
+        lead = np.flatnonzero((buf & 0xC0) != 0x80)
+        lo, hi = np.searchsorted(lead, starts[long]), np.searchsorted(lead, ends[long])
+        at = tv.ragged(lo, np.maximum(hi - lo - 2, 0))
+        stop = np.append(lead, len(buf))[at + 3]
+        starts, ends = np.concatenate((starts[~long], lead[at])), np.concatenate((ends[~long], stop))
+        order = np.argsort(starts, kind="stable")
+        starts, ends = starts[order], ends[order]
+    terms = (tv.span_hash(tv.prefix_hash(buf), starts, ends) >> np.uint64(64 - tv.TERM_BITS)).astype(np.int64)
+    return terms, np.searchsorted(starts, off)
 
 
 def fingerprints(column: pa.Array, parts: int = PARTS) -> tuple[np.ndarray, np.ndarray]:
@@ -46,7 +109,7 @@ def fingerprints(column: pa.Array, parts: int = PARTS) -> tuple[np.ndarray, np.n
     got, there = [], []
     for lo, hi, buf, off in tv.slices(column):
         n = hi - lo
-        row, term, _ = tv.counted(*tv.words(buf, off))
+        row, term, _ = tv.counted(*votes(buf, off))
         first = np.searchsorted(row, np.arange(n + 1))
         has = np.diff(first) > 0
         fp = np.zeros((n, parts), np.uint64)
@@ -55,8 +118,8 @@ def fingerprints(column: pa.Array, parts: int = PARTS) -> tuple[np.ndarray, np.n
             for p in range(parts):
                 h = tv.mix(term.astype(np.uint64) * np.uint64(2 * p + 3) + np.uint64(0x51ED270B * (p + 1)))
                 bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
-                votes = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
-                fp[has, p] = np.packbits(votes * 2 > size[:, None], axis=1).view(np.uint64).ravel()
+                yes = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
+                fp[has, p] = np.packbits(yes * 2 > size[:, None], axis=1).view(np.uint64).ravel()
         got.append(fp)
         there.append(has)
     if not got:
@@ -93,44 +156,80 @@ def _cluster(fps: np.ndarray, accept: int) -> np.ndarray:
     return label
 
 
-def links(fps: np.ndarray, part: int, mask: np.uint64, accept: int = ACCEPT) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs that link everything within ``accept`` bits among rows with equal masked words."""
-    key = fps[:, part] & mask
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the same rows with fewer links: the least row of each component and every other one."""
+    rows, inv = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = inv[: len(a)], inv[len(a) :]
+    label = np.arange(len(rows))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    other = np.flatnonzero(label != np.arange(len(rows)))
+    return rows[label[other]], rows[other]
+
+
+def links(fps: np.ndarray, key: np.ndarray, accept: int = ACCEPT) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs that join everything within ``accept`` bits among rows with equal keys."""
     order = np.argsort(key, kind="stable")
     key = key[order]
     start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
     size = np.diff(np.append(start, len(key)))
-    a, b = [], []
-    small = np.repeat(size, size)
-    for k in range(1, min(int(size.max(initial=1)), _ALL_PAIRS)):
-        i = np.flatnonzero((key[k:] == key[:-k]) & (small[k:] <= _ALL_PAIRS))
-        if not len(i):
+    a, b, held = [], [], 0
+    many = np.repeat(size, size)
+    m = fps[order]
+    left = many - (np.arange(len(key)) - np.repeat(start, size))  # rows from here to the end of the run
+    active = np.flatnonzero((many > 1) & (many <= _ALL_PAIRS))
+    k = 0
+    while True:
+        k += 1
+        active = active[left[active] > k]
+        if not len(active):
             break
-        x, y = order[i], order[i + k]
-        ok = distance(fps[x], fps[y]) <= accept
-        a.append(x[ok])
-        b.append(y[ok])
+        far = np.bitwise_count(m[active, 0] ^ m[active + k, 0])
+        for p in range(1, m.shape[1] - 1):
+            far = far + np.bitwise_count(m[active, p] ^ m[active + k, p])
+        near = active[far <= accept]
+        near = near[distance(m[near], m[near + k]) <= accept]
+        if len(near):
+            a.append(near)
+            b.append(near + k)
+            held += len(near)
+            if held > _REDUCE:
+                x, y = forest(np.concatenate(a), np.concatenate(b))
+                a, b, held = [x], [y], 0
     for s, n in zip(start[size > _ALL_PAIRS].tolist(), size[size > _ALL_PAIRS].tolist()):
-        rows = order[s : s + n]
-        root = rows[_cluster(fps[rows], accept)]
-        ok = root != rows
-        a.append(root[ok])
-        b.append(rows[ok])
-    e = np.empty(0, np.int64)
-    return (np.concatenate(a), np.concatenate(b)) if a else (e, e)
-
-
-def signatures(docs: DataFrame, parts: int = PARTS) -> DataFrame:
+        root = s + _cluster(m[s : s + n], accept)
+        rows = np.arange(s, s + n)
+        a.append(root[root != rows])
+        b.append(rows[root != rows])
+    if not a:
+        e = np.empty(0, np.int64)
+        return e, e
+    x, y = np.concatenate(a), np.concatenate(b)
+    if len(x) > len(fps):
+        x, y = forest(x, y)
+    return order[x], order[y]
+
+
+def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of documents that have an id and a word."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            fps, has = fingerprints(lower_text(b.column(1)), parts)
+            fps, has = fingerprints(lower_text(b.column(1)))
             ids, known = ints(b.column(0))
             keep = has & known
             raw = np.ascontiguousarray(fps[keep])
             n = len(raw)
-            col = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * 8 * parts).astype(np.int32)), pa.py_buffer(raw.tobytes())])
+            col = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * 8 * PARTS).astype(np.int32)), pa.py_buffer(raw.tobytes())])
             yield pa.record_batch([pa.array(ids[keep]), col], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp binary")
@@ -141,35 +240,30 @@ def _matrix(column: pa.Array, parts: int) -> np.ndarray:
     return np.frombuffer(raw, np.uint64).reshape(-1, parts)
 
 
-def edges(fps: DataFrame, accept: int = ACCEPT, rho: int = RHO, parts: int = PARTS) -> DataFrame:
+def edges(fps: DataFrame, accept: int = ACCEPT, cover: Cover | None = None) -> DataFrame:
     """(a, b) node names that link near fingerprints; ``fps`` has distinct values in column fp."""
-    table = masks(rho)
-    n_tables = parts * len(table)
-    wide = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sub_bits = max(2, int(np.ceil(np.log2(max(1, 4 * wide / n_tables)))))
+    n_rows = fps.count()
+    cover = cover or choose(n_rows, accept)
+    wide = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_rows * len(cover.units) * 8 * PARTS // 32_000_000)
 
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A table's bucket holds the fingerprints of some of its keys; whole arrays travel as one row.
+        # whole arrays travel as one row
         held: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             m = np.concatenate(held)
-            for p in range(parts):
-                for v, mask in enumerate(table):
-                    t = p * len(table) + v
-                    sub = (tv.mix((m[:, p] & mask) ^ np.uint64(t)) >> np.uint64(64 - sub_bits)).astype(np.int64)
-                    order = np.argsort(sub, kind="stable")
-                    cut = np.searchsorted(sub[order], np.arange((1 << sub_bits) + 1))
-                    mm = m[order]
-                    got = [k for k in range(1 << sub_bits) if cut[k] < cut[k + 1]]
-                    yield pa.record_batch(
-                        [pa.array([(t << sub_bits) | k for k in got], pa.int32()), pa.array([mm[cut[k] : cut[k + 1]].tobytes() for k in got], pa.binary())],
-                        ["bucket", "payload"],
-                    )
+            words = [cover.word(m, p) for p in range(cover.words)]
+            for u, (p, shared, _) in enumerate(cover.units):
+                sub = words[p] & shared
+                order = np.argsort(sub, kind="stable")
+                sub, mm = sub[order], m[order]
+                cut = np.flatnonzero(np.concatenate(([True], sub[1:] != sub[:-1])))
+                bucket = ((tv.mix(sub[cut]) >> np.uint64(24)).astype(np.int64)) | (u << 40)
+                yield pa.record_batch([pa.array(bucket), pa.array([mm[x:y].tobytes() for x, y in zip(cut, [*cut[1:], len(sub)])], pa.binary())], ["bucket", "payload"])
 
         for b in it:
             if b.num_rows:
-                held.append(_matrix(b.column(0), parts))
+                held.append(_matrix(b.column(0), PARTS))
             if sum(map(len, held)) > 200_000:
                 yield from flush()
                 held.clear()
@@ -177,20 +271,31 @@ def edges(fps: DataFrame, accept: int = ACCEPT, rho: int = RHO, parts: int = PAR
             yield from flush()
 
     def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
-        for b in it:
+        held: list[bytes] = []
+        unit, last, size = -1, -1, 0
+        for b in it:  # sorted by bucket
             for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held.setdefault(k, []).append(raw)
-        for k in sorted(held):
-            m = np.frombuffer(b"".join(held.pop(k)), np.uint64).reshape(-1, parts)
-            p, v = divmod(k >> sub_bits, len(table))
-            x, y = links(m, p, table[v], accept)
-            if len(x):
-                a, b = node_ids(m[x]), node_ids(m[y])
-                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                if held and (k >> 40 != unit or (k != last and size > _ROWS)):
+                    yield compare(held, unit)
+                    held, size = [], 0
+                unit, last, size = k >> 40, k, size + len(raw) // (8 * PARTS)
+                held.append(raw)
+        if held:
+            yield compare(held, unit)
 
-    sent = fps.select("fp").mapInArrow(send, "bucket int, payload binary")
-    return sent.repartition("bucket").mapInArrow(meet, "a long, b long").distinct()
+    def compare(held: list[bytes], unit: int) -> pa.RecordBatch:
+        m = np.frombuffer(b"".join(held), np.uint64).reshape(-1, PARTS)
+        p, _, masks = cover.units[unit]
+        word = cover.word(m, p)
+        got = [links(m, word & mask, accept) for mask in masks]
+        x, y = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+        if len(x):
+            x, y = forest(x, y)
+        a, b = node_ids(m[x]), node_ids(m[y])
+        return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    sent = fps.select("fp").mapInArrow(send, "bucket long, payload binary")
+    return sent.repartition(wide, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long").where("a <> b").distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -224,39 +329,49 @@ def components(pairs: DataFrame) -> DataFrame:
     return now.df.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def duplicates(docs: DataFrame, accept: int = ACCEPT, rho: int = RHO, parts: int = PARTS) -> DataFrame:
+def duplicates(docs: DataFrame, accept: int = ACCEPT, cover: Cover | None = None) -> DataFrame:
     """(doc_id, duplicate_of) of each document that goes; the smallest id of a group stays.
 
-    Documents without an id or without a word are in no group. Repeated rows
-    with one id are one document. An empty table gives no rows; other columns
-    of ``docs`` aren't read.
+    Fingerprints within ``accept`` bits are in one group, and so are all that a
+    chain of such links joins. The rows of one id are one document: their groups
+    are joined too, so the id that stays stands for all their texts. Documents
+    without an id or without a word are in no group. Rows with one id and equal
+    fingerprints are one row. An empty table gives no rows; other columns of
+    ``docs`` aren't read.
     """
     prepare(docs.sparkSession)
-    sig = Written(signatures(docs, parts), "signatures")
+    sig = Written(signatures(docs).mapInArrow(_named, "doc_id long, fp binary, node long"), "signatures")
+    groups = Written(sig.df.groupBy("fp", "node").agg(F.min("doc_id").alias("low")), "nodes")
+    found = edges(groups.df, accept, cover)
+    # different fingerprints of one id
+    again = sig.df.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
+    own = sig.df.join(again, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    root = components(found.unionByName(own).distinct())
+    node = groups.df.select("node", "low").join(root, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    keep = node.groupBy("root").agg(F.min("low").alias("duplicate_of"))
+    kept = node.join(keep, "root").select("node", "duplicate_of")
+    return sig.df.select("doc_id", "node").join(kept, "node").where("doc_id <> duplicate_of").select("doc_id", "duplicate_of").distinct()
 
-    def name(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            node = node_ids(_matrix(b.column(0), parts)) if b.num_rows else np.empty(0, np.int64)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(node)], ["fp", "low", "node"])
 
-    groups = Written(sig.df.groupBy("fp").agg(F.min("doc_id").alias("low")).mapInArrow(name, "fp binary, low long, node long"), "nodes")
-    root = components(edges(groups.df, accept, rho, parts))
-    node = groups.df.join(root, "node", "left").select("fp", "low", F.coalesce("root", "node").alias("root"))
-    keep = node.groupBy("root").agg(F.min("low").alias("duplicate_of"))
-    kept = node.join(keep, "root").select("fp", "duplicate_of")
-    # repeated (doc_id, fp) pairs are one document
-    return sig.df.join(kept, "fp").where("doc_id <> duplicate_of").groupBy("doc_id").agg(F.min("duplicate_of").alias("duplicate_of"))
+def _named(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        node = node_ids(_matrix(b.column(1), PARTS)) if b.num_rows else np.empty(0, np.int64)
+        yield pa.record_batch([b.column(0), b.column(1), pa.array(node)], ["doc_id", "fp", "node"])
 
 
-def dedup(docs: DataFrame, accept: int = ACCEPT, rho: int = RHO, parts: int = PARTS) -> DataFrame:
-    """``docs`` with one document of each group; columns unchanged. Of rows that repeat an id one stays, chosen by the hash of its text."""
-    gone = Written(duplicates(docs, accept, rho, parts), "gone")
+def dedup(docs: DataFrame, accept: int = ACCEPT, cover: Cover | None = None) -> DataFrame:
+    """``docs`` with one document of each group; columns unchanged.
+
+    Of rows that repeat an id one stays, chosen by the hash of its text, ties by
+    the text and then by a hash of the row. Rows with a null id and rows without a word stay.
+    """
+    gone = Written(duplicates(docs, accept, cover), "gone")
     kept = without_ids(docs, gone.df.select("doc_id"))
     again = Written(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     if again.df.isEmpty():
         return kept
-    ids, rank = again.df, "rank_"
-    while rank in docs.columns:
-        rank += "_"
-    some = kept.join(ids, "doc_id", "left_semi").withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    return without_ids(kept, ids).unionByName(some.where(F.col(rank) == 1).select(docs.columns))
+    # a partial minimum, so that many rows of one id don't meet in a task
+    whole = F.struct(*docs.columns)
+    by = F.struct(F.xxhash64("text"), "text", F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind]))
+    one = kept.join(again.df, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(whole, by).alias("row_")).select("row_.*")
+    return without_ids(kept, again.df).unionByName(one)

@@ -10,16 +10,57 @@ from pyspark.sql import functions as F
 from inkwell.llm import simhash
 
 
-@pytest.mark.parametrize("distance", range(simhash.RADIUS + 1))
-def test_pairs_within_the_radius_always_meet(distance):
-    rng = np.random.default_rng(distance)
-    table = simhash.masks()
-    for _ in range(150):
-        a = rng.integers(0, 2**63, simhash.PARTS, dtype=np.uint64) * np.uint64(2)
-        b = a.copy()
+def pairs_at(distance, n, seed):
+    rng = np.random.default_rng(seed)
+    a = rng.integers(0, 2**64, (n, simhash.PARTS), dtype=np.uint64)
+    b = a.copy()
+    for i in range(n):
         for bit in rng.choice(64 * simhash.PARTS, distance, replace=False):
-            b[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
-        assert any((a[p] & m) == (b[p] & m) for p in range(simhash.PARTS) for m in table)
+            b[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    return a, b
+
+
+@pytest.mark.parametrize("words,rho", simhash.COVERS)
+def test_pairs_within_the_radius_always_meet(words, rho):
+    cover = simhash.Cover(words, rho)
+    assert cover.radius >= simhash.ACCEPT
+    assert sum(len(m) for _, _, m in cover.units) == cover.tables
+    for distance in (*range(0, simhash.ACCEPT, 4), simhash.ACCEPT):
+        a, b = pairs_at(distance, 60, distance)
+        met = np.zeros(60, bool)
+        for p, shared, masks in cover.units:
+            x, y = cover.word(a, p), cover.word(b, p)
+            for m in masks:
+                assert m & shared == shared
+                met |= (x & m) == (y & m)
+        assert met.all()
+
+
+def test_words_of_a_cover_hold_each_bit_once():
+    fps = np.random.default_rng(0).integers(0, 2**64, (50, simhash.PARTS), dtype=np.uint64)
+    for words, rho in simhash.COVERS:
+        cover = simhash.Cover(words, rho)
+        assert sum(np.bitwise_count(cover.word(fps, p)) for p in range(words)).tolist() == np.bitwise_count(fps).sum(axis=1).tolist()
+
+
+def test_choice_of_the_cover():
+    assert {simhash.choose(10**k).radius >= simhash.ACCEPT for k in range(12)} == {True}
+    assert simhash.choose(1000).tables < simhash.choose(10**9).tables
+    with pytest.raises(ValueError):
+        simhash.choose(5, 200)
+
+
+@pytest.mark.parametrize("cover", [(8, 4, 3), (7, 5, 2), (5, 7, 1)])
+def test_links_at_every_distance(spark, cover):
+    rows = []
+    for distance in range(0, simhash.ACCEPT + 6):
+        a, b = pairs_at(distance, 4, 100 + distance)
+        rows += [(bytes(x.tobytes()), bytes(y.tobytes()), distance) for x, y in zip(a, b)]
+    every = np.frombuffer(b"".join(x for r in rows for x in r[:2]), np.uint64).reshape(-1, simhash.PARTS)
+    names = simhash.node_ids(every)
+    want = {(min(int(names[2 * i]), int(names[2 * i + 1])), max(int(names[2 * i]), int(names[2 * i + 1]))) for i, r in enumerate(rows) if 0 < r[2] <= simhash.ACCEPT}
+    df = spark.createDataFrame([(x,) for x in {x for r in rows for x in r[:2]}], "fp binary").repartition(3)
+    assert {tuple(r) for r in simhash.edges(df, cover=simhash.Cover(*cover)).collect()} == want
 
 
 def brute_groups(ids, fps, reach):
@@ -40,15 +81,14 @@ def brute_groups(ids, fps, reach):
     return {(d, low[find(i)]) for i, d in enumerate(ids) if d != low[find(i)]}
 
 
-def test_groups_equal_brute_force_within_the_radius(spark):
+def test_groups_equal_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").unionByName(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id >= 200"))
     sig = simhash.signatures(docs).toPandas()
     fps = np.frombuffer(b"".join(sig.fp), np.uint64).reshape(-1, simhash.PARTS)
-    got = {tuple(r) for r in simhash.duplicates(docs, accept=simhash.RADIUS).collect()}
-    assert got == brute_groups(sig.doc_id.tolist(), fps, simhash.RADIUS)
-    near = brute_groups(sig.doc_id.tolist(), fps, simhash.ACCEPT)
-    found = {tuple(r) for r in simhash.duplicates(docs).collect()}
-    assert len({d for d, _ in found} & {d for d, _ in near}) >= 0.95 * len(near)
+    for accept in (12, simhash.ACCEPT):
+        got = {tuple(r) for r in simhash.duplicates(docs, accept).collect()}
+        assert got == brute_groups(sig.doc_id.tolist(), fps, accept)
+    assert got == {tuple(r) for r in simhash.duplicates(docs, cover=simhash.Cover(6, 6)).collect()}
 
 
 def test_cluster_walks_chains():
@@ -57,8 +97,44 @@ def test_cluster_walks_chains():
         fps[i, 0] = np.uint64((1 << i) - 1)
     assert len(set(simhash._cluster(fps, 1).tolist())) == 1
     assert len(set(simhash._cluster(fps[::2], 1).tolist())) == 30
-    a, b = simhash.links(fps, 0, np.uint64(0), 1)
-    assert len(a) >= 59
+    a, b = simhash.links(np.repeat(fps, simhash.PARTS, axis=1), np.zeros(60, np.uint64), simhash.PARTS)
+    assert len(a) == 59
+
+
+def test_long_runs_and_forests(monkeypatch):
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 2**64, (40, simhash.PARTS), dtype=np.uint64)[rng.integers(0, 40, 500)]
+    fps[:, 0] ^= np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64)
+    key = rng.integers(0, 3, 500).astype(np.uint64)
+
+    def parts(a, b):
+        x, y = simhash.forest(a, b)
+        return dict(zip(y.tolist(), x.tolist()))
+
+    want = [(i, j) for i in range(500) for j in range(i) if key[i] == key[j] and simhash.distance(fps[i], fps[j]) <= 8]
+    want = parts(np.array([x for x, _ in want]), np.array([y for _, y in want]))
+    assert parts(*simhash.links(fps, key, 8)) == want
+    monkeypatch.setattr(simhash, "_ALL_PAIRS", 50)
+    assert parts(*simhash.links(fps, key, 8)) == want
+    monkeypatch.setattr(simhash, "_ALL_PAIRS", 2048)
+    monkeypatch.setattr(simhash, "_REDUCE", 3)
+    assert parts(*simhash.links(fps, key, 8)) == want
+
+
+def test_an_id_with_several_texts_stands_for_all_of_them(spark):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    d = spark.createDataFrame([(5, a), (7, a), (5, b), (3, b), (9, "else")], "doc_id long, text string")
+    assert {tuple(r) for r in simhash.duplicates(d).collect()} == {(5, 3), (7, 3)}
+    assert sorted(r.doc_id for r in simhash.dedup(d).collect()) == [3, 9]
+
+
+def test_scripts_without_spaces(spark):
+    rng = random.Random(2)
+    text = "".join(chr(0x4E00 + rng.randint(0, 3000)) for _ in range(400))
+    near = text[:200] + "新" + text[201:]
+    other = "".join(chr(0x4E00 + rng.randint(0, 3000)) for _ in range(400))
+    d = spark.createDataFrame([(1, text), (2, near), (3, other)], "doc_id long, text string")
+    assert {tuple(r) for r in simhash.duplicates(d).collect()} == {(2, 1)}
 
 
 def test_components(spark):
