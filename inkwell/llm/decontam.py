@@ -2,9 +2,12 @@
 
 The index holds the test items. Each training document is cut into passages of
 two strides of words, one starting every stride, and every passage is a query.
-A stride is at least as long as the longest item, so an item that a document
-contains lies whole in some passage. An item's BM25 score is divided by its
-score against itself; passages retrieve all items with ``RETRIEVE`` or more.
+An item's stride is ``STRIDE`` or the next doubling of it that is as long as the
+item, so an item that a document contains lies whole in some passage, and long
+items don't widen the passages of short ones. An item's BM25 score is divided by
+its score against itself; passages retrieve all items with ``RETRIEVE`` or more.
+Document frequencies and the mean length are those of all items, so it makes no
+difference into how many indexes (one or more a stride) they are cut.
 
 Retrieval is block-max WAND with blocks of neighbouring item numbers. The most
 common terms are set aside as long as together they can't bring any item to the
@@ -20,7 +23,8 @@ or its last quarter where it is one sentence.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +40,8 @@ OVERLAP = 0.5
 STRIDE = 64
 BLOCK = 8
 K1, B = 1.2, 0.75
-INDEX_BYTES = 32_000_000  # item text of one index; more items make several, one pass each
+INDEX_BYTES = 32_000_000  # item text of the indexes of one pass over the documents; more items make several passes
+CELLS = 1 << 22  # scores and bounds that are held at once
 SCHEMA = "doc_id long, item_id long, passage int, score double, question_overlap double, answer_overlap double"
 
 
@@ -63,15 +68,52 @@ def _words(text: str) -> np.ndarray:
     return next(tv.words(buf, off)[0] for _, _, buf, off in tv.slices(low))
 
 
+@dataclass
+class Statistics:
+    """Document frequencies, number and mean length of all items that have a word."""
+
+    n: int
+    mean: float
+    vocab: np.ndarray
+    df: np.ndarray
+
+    @classmethod
+    def of(cls, texts: Iterable[str | None]) -> Statistics:
+        n, words, parts, vocab, df = 0, 0, [], np.empty(0, np.int64), np.empty(0, np.int64)
+
+        def merge() -> tuple[np.ndarray, np.ndarray]:
+            flat, inv = np.unique(np.concatenate([vocab, *parts]), return_inverse=True)
+            return flat, np.bincount(inv, np.concatenate([df, np.ones(len(inv) - len(df))]), len(flat)).astype(np.int64)
+
+        for t in texts:
+            w = _words(t) if t else ()
+            if len(w):
+                n, words = n + 1, words + len(w)
+                parts.append(np.unique(w))
+                if len(parts) == 10_000:
+                    vocab, df = merge()
+                    parts = []
+        vocab, df = merge()
+        return cls(n, words / max(n, 1), vocab, df)
+
+
+def stride_of(n_words: int) -> int:
+    out = STRIDE
+    while out < n_words:
+        out *= 2
+    return out
+
+
 class Index:
-    """Impacts of the items' terms, normalised to 1 for an item against itself."""
+    """Impacts of the terms of some items, normalised to 1 for an item against itself."""
 
-    def __init__(self, items: list[tuple[int | None, str]], retrieve: float = RETRIEVE, block: int = BLOCK, stride: int = STRIDE):
+    def __init__(self, items: list[tuple[int | None, str]], retrieve: float = RETRIEVE, block: int = BLOCK, stats: Statistics | None = None):
         kept = [(i, w, t) for i, t in items if t and len(w := _words(t))]
         kept.sort(key=lambda x: (x[1].min(), x[0] is None, x[0] or 0))
+        stats = stats or Statistics.of(t for _, t in items)
         self.ids = [i for i, _, _ in kept]
         self.n, self.block, self.retrieve = len(kept), block, retrieve
-        self.stride = max([stride, *(len(w) for _, w, _ in kept)])
+        self.stride = max([STRIDE, *(stride_of(len(w)) for _, w, _ in kept)])
         self.parts = []
         for _, _, t in kept:
             q, a = split_item(t)
@@ -84,9 +126,9 @@ class Index:
         key, tf = np.unique(t.astype(np.int64) * self.n + item, return_counts=True)
         t, item = key // self.n, key % self.n
         length = np.array([len(w) for _, w, _ in kept], float)
-        df = np.bincount(t, minlength=len(vocab))
-        idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
-        w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / length.mean()))
+        df = stats.df[np.searchsorted(stats.vocab, vocab)]
+        idf = np.log1p((stats.n - df + 0.5) / (df + 0.5))
+        w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / stats.mean))
         w = w / np.bincount(item, w, self.n)[item]
         self.table = tv.TermTable(vocab)
         self.at, self.item, self.w = np.searchsorted(t, np.arange(len(vocab) + 1)), item, w
@@ -114,7 +156,6 @@ class Index:
         none = e, e, e, np.empty(0)
         if not self.n or not len(terms):
             return none
-        n_rows = len(first) - 1
         units = -(-np.diff(first) // self.stride)  # a passage is a unit and the next one
         base = np.concatenate(([0], np.cumsum(units)))
         got = self.table.find(terms)
@@ -131,33 +172,53 @@ class Index:
             return none
         key = key[np.concatenate(([True], key[1:] != key[:-1]))]
         p, t = key // v, key % v
-        n = self.bat[t + 1] - self.bat[t]
-        post = tv.ragged(self.bat[t], n)
-        where = np.repeat(p, n) * self.n_blocks + self.bblock[post]
-        bound = np.bincount(where, self.bmax[post], int(base[-1]) * self.n_blocks)
-        live = np.flatnonzero((bound > 0) & (bound + self.spare_block[np.arange(len(bound)) % self.n_blocks] >= self.retrieve - 1e-9))
-        if not len(live):
+        n_units = int(base[-1])
+        alive = self._live(p, t)
+        if not len(alive):
             return none
-        alive = np.zeros(len(bound), bool)
-        alive[live] = True
-        chosen = np.unique(live // self.n_blocks)
-        want = np.zeros(int(base[-1]), bool)
-        want[chosen] = True
-        slot = np.zeros(int(base[-1]), np.int64)
-        slot[chosen] = np.arange(len(chosen))
+        want = np.zeros(n_units, bool)
+        want[alive // self.n_blocks] = True
         a, b = want[unit], later & want[np.maximum(unit - 1, 0)]
         key = np.unique(np.concatenate((unit[a] * v + got[a], (unit[b] - 1) * v + got[b])))
-        p, t = key // v, key % v
-        n = self.at[t + 1] - self.at[t]
-        post = tv.ragged(self.at[t], n)
-        pp, item = np.repeat(p, n), self.item[post]
-        ok = alive[pp * self.n_blocks + item // self.block]
-        score = np.bincount(slot[pp[ok]] * self.n + item[ok], self.w[post][ok], len(chosen) * self.n)
-        hit = np.flatnonzero(score >= self.retrieve - 1e-9)
-        p = chosen[hit // self.n]
+        p, hit, score = self._scored(key // v, key % v, alive)
         row = np.searchsorted(base, p, side="right") - 1
-        assert n_rows >= 0
-        return row, p - base[row], hit % self.n, score[hit]
+        return row, p - base[row], hit, score
+
+    def _chunks(self, p: np.ndarray, wide: int) -> Iterator[tuple[slice, int, int]]:
+        """Runs of the sorted passages p, so that ``wide`` cells for each stay within CELLS: (positions, first passage, passages)."""
+        many = max(1, CELLS // wide)
+        lo = 0
+        while lo < len(p):
+            hi = int(np.searchsorted(p, p[lo] + many))
+            yield slice(lo, hi), int(p[lo]), int(p[hi - 1] - p[lo]) + 1
+            lo = hi
+
+    def _live(self, p: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """passage * n_blocks + block where the block maxima of the passage's terms can reach the threshold."""
+        out = [np.empty(0, np.int64)]
+        for at, first, many in self._chunks(p, self.n_blocks):
+            n = self.bat[t[at] + 1] - self.bat[t[at]]
+            post = tv.ragged(self.bat[t[at]], n)
+            bound = np.bincount(np.repeat(p[at] - first, n) * self.n_blocks + self.bblock[post], self.bmax[post], many * self.n_blocks)
+            some = np.flatnonzero(bound)
+            out.append(some[bound[some] + self.spare_block[some % self.n_blocks] >= self.retrieve - 1e-9] + first * self.n_blocks)
+        return np.concatenate(out)
+
+    def _scored(self, p: np.ndarray, t: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, item, score) of the items in live blocks that reach the threshold."""
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for at, first, many in self._chunks(p, max(self.n, self.n_blocks)):
+            here = alive[np.searchsorted(alive, first * self.n_blocks) : np.searchsorted(alive, (first + many) * self.n_blocks)] - first * self.n_blocks
+            open_ = np.zeros(many * self.n_blocks, bool)
+            open_[here] = True
+            n = self.at[t[at] + 1] - self.at[t[at]]
+            post = tv.ragged(self.at[t[at]], n)
+            pp, item = np.repeat(p[at] - first, n), self.item[post]
+            ok = open_[pp * self.n_blocks + item // self.block]
+            score = np.bincount(pp[ok] * self.n + item[ok], self.w[post][ok], many * self.n)
+            hit = np.flatnonzero(score >= self.retrieve - 1e-9)
+            out.append((hit // self.n + first, hit % self.n, score[hit]))
+        return tuple(np.concatenate(x) for x in zip(*out))
 
     def verified(self, terms: np.ndarray, first: np.ndarray, overlap: float = OVERLAP) -> dict[tuple[int, int], tuple]:
         """{(row, item): (passage, score, question's overlap, answer's)}: of each pair the passage with the most overlap, then the first."""
@@ -175,16 +236,25 @@ class Index:
         return best
 
 
-def indexes(items: DataFrame, retrieve: float = RETRIEVE, limit: int = INDEX_BYTES) -> Iterator[Index]:
-    """Indexes of all items, each of a bounded size."""
-    held, size = [], 0
-    for r in items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
-        held.append((r[0], r[1]))
-        size += len(r[1] or "")
-        if size > limit:
-            yield Index(held, retrieve)
-            held, size = [], 0
-    yield Index(held, retrieve)
+def indexes(items: DataFrame, retrieve: float = RETRIEVE, limit: int | None = None) -> Iterator[list[Index]]:
+    """The indexes of each pass: those of all items, one for each stride, of a bounded size together.
+
+    The items are read twice on the driver, one after another; it holds the
+    text of one pass and a number for each different word of the items.
+    """
+    rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    stats = Statistics.of(r[1] for r in rows.toLocalIterator())
+    held, size = {}, 0
+    for r in rows.toLocalIterator():
+        n = len(_words(r[1])) if r[1] else 0
+        if n:
+            held.setdefault(stride_of(n), []).append((r[0], r[1]))
+            size += len(r[1])
+        if size > (INDEX_BYTES if limit is None else limit):
+            yield [Index(x, retrieve, stats=stats) for _, x in sorted(held.items())]
+            held, size = {}, 0
+    if held:
+        yield [Index(x, retrieve, stats=stats) for _, x in sorted(held.items())]
 
 
 def hits(docs: DataFrame, items: DataFrame, retrieve: float = RETRIEVE, overlap: float = OVERLAP) -> DataFrame:
@@ -198,17 +268,18 @@ def hits(docs: DataFrame, items: DataFrame, retrieve: float = RETRIEVE, overlap:
     prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = None
-    for index in indexes(items, retrieve):
-        shared = spark.sparkContext.broadcast(index)
+    for some in indexes(items, retrieve):
+        shared = spark.sparkContext.broadcast(some)
 
         def run(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ix = shared.value
             for b in it:
                 ids = b.column(0).to_pylist()
                 rows = []
                 for lo, _, buf, off in tv.slices(lower_text(b.column(1))):
-                    for (row, item), got in sorted(ix.verified(*tv.words(buf, off), overlap).items()):
-                        rows.append((ids[lo + row], ix.ids[item], got[0], round(got[1], 6), *got[2:]))
+                    words = tv.words(buf, off)
+                    for ix in shared.value:
+                        for (row, item), got in sorted(ix.verified(*words, overlap).items()):
+                            rows.append((ids[lo + row], ix.ids[item], got[0], round(got[1], 6), *got[2:]))
                 yield pa.RecordBatch.from_pylist(
                     [dict(zip(("doc_id", "item_id", "passage", "score", "question_overlap", "answer_overlap"), r)) for r in rows],
                     pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("passage", pa.int32()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]),
@@ -216,7 +287,7 @@ def hits(docs: DataFrame, items: DataFrame, retrieve: float = RETRIEVE, overlap:
 
         got = docs.mapInArrow(run, SCHEMA)
         out = got if out is None else out.unionByName(got)
-    return out
+    return spark.createDataFrame([], SCHEMA) if out is None else out
 
 
 def clean(docs: DataFrame, items: DataFrame, retrieve: float = RETRIEVE, overlap: float = OVERLAP) -> DataFrame:
@@ -224,16 +295,17 @@ def clean(docs: DataFrame, items: DataFrame, retrieve: float = RETRIEVE, overlap
     spark = docs.sparkSession
     prepare(spark)
     at = docs.columns.index("text")
-    for index in indexes(items, retrieve):
-        shared = spark.sparkContext.broadcast(index)
+    for some in indexes(items, retrieve):
+        shared = spark.sparkContext.broadcast(some)
 
         def run(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ix = shared.value
             for b in it:
                 keep = np.ones(b.num_rows, bool)
                 for lo, _, buf, off in tv.slices(lower_text(b.column(at))):
-                    for row, _ in ix.verified(*tv.words(buf, off), overlap):
-                        keep[lo + row] = False
+                    words = tv.words(buf, off)
+                    for ix in shared.value:
+                        for row, _ in ix.verified(*words, overlap):
+                            keep[lo + row] = False
                 yield b.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
@@ -248,17 +320,17 @@ WITH i0 AS (SELECT row_number() OVER () AS iid, item_id, regexp_replace(text, '^
 i1 AS (SELECT *, list_filter(regexp_split_to_array(x, '[.?!]\\s+|\\n+'), lambda p: len({words("p")}) > 0) AS parts, regexp_split_to_array(x, '\\s+') AS sp FROM i0 WHERE len(w) > 0),
 i2 AS (SELECT *, CASE WHEN len(parts) > 1 THEN array_to_string(parts[:len(parts) - 1], ' ') ELSE array_to_string(sp[:len(sp) - greatest(1, len(sp) // 4)], ' ') END AS qt,
   CASE WHEN len(parts) > 1 THEN parts[len(parts)] ELSE array_to_string(sp[len(sp) - greatest(1, len(sp) // 4) + 1:], ' ') END AS anst FROM i1),
-item AS (SELECT iid, item_id, w, {words("qt")} AS q, {words("anst")} AS a FROM i2),
-n AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS mean, greatest({STRIDE}, max(len(w)))::BIGINT AS stride FROM item),
+item AS (SELECT iid, item_id, w, {words("qt")} AS q, {words("anst")} AS a, ({STRIDE} * pow(2, greatest(0, ceil(log2(len(w)::DOUBLE / {STRIDE})))))::BIGINT AS stride FROM i2),
+n AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS mean FROM item),
 it AS (SELECT iid, t, count(*)::DOUBLE AS tf FROM (SELECT iid, unnest(w) AS t FROM item) GROUP BY iid, t),
 df AS (SELECT t, count(*)::DOUBLE AS df FROM it GROUP BY t),
 raw AS (SELECT iid, t, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * ({K1} + 1) / (tf + {K1} * (1 - {B} + {B} * len(w) / mean)) AS x FROM it JOIN df USING (t) JOIN item USING (iid), n),
 wt AS (SELECT iid, t, x / sum(x) OVER (PARTITION BY iid) AS x FROM raw),
 d AS (SELECT row_number() OVER () AS did, doc_id, {words("text")} AS w FROM documents WHERE text IS NOT NULL),
-tok AS (SELECT did, unnest(w) AS t, unnest(range(len(w))) // stride AS u FROM d, n),
-pas AS (SELECT DISTINCT did, u AS p, t FROM tok UNION SELECT DISTINCT did, u - 1, t FROM tok WHERE u > 0),
-sc AS (SELECT did, p, iid, sum(x) AS score FROM pas JOIN wt USING (t) GROUP BY did, p, iid HAVING sum(x) >= {RETRIEVE} - 1e-9),
-c AS (SELECT sc.*, d.doc_id, d.w[p * stride + 1:(p + 2) * stride] AS seen, item.item_id, item.q, item.a FROM sc JOIN d USING (did) JOIN item USING (iid), n),
+tok AS (SELECT did, stride, unnest(w) AS t, unnest(range(len(w))) // stride AS u FROM d, (SELECT DISTINCT stride FROM item)),
+pas AS (SELECT DISTINCT did, stride, u AS p, t FROM tok UNION SELECT DISTINCT did, stride, u - 1, t FROM tok WHERE u > 0),
+sc AS (SELECT did, p, iid, sum(x) AS score FROM pas JOIN (SELECT wt.*, stride FROM wt JOIN item USING (iid)) USING (t, stride) GROUP BY did, p, iid HAVING sum(x) >= {RETRIEVE} - 1e-9),
+c AS (SELECT sc.*, d.doc_id, d.w[p * stride + 1:(p + 2) * stride] AS seen, item.item_id, item.q, item.a FROM sc JOIN d USING (did) JOIN item USING (iid)),
 g AS (SELECT *, list_transform(range(1, len(seen) - 1), lambda k: seen[k] || ' ' || seen[k + 1] || ' ' || seen[k + 2]) AS three,
   list_distinct(CASE WHEN len(q) < 3 THEN q ELSE list_transform(range(1, len(q) - 1), lambda k: q[k] || ' ' || q[k + 1] || ' ' || q[k + 2]) END) AS qg,
   list_distinct(CASE WHEN len(a) < 3 THEN a ELSE list_transform(range(1, len(a) - 1), lambda k: a[k] || ' ' || a[k + 1] || ' ' || a[k + 2]) END) AS ag FROM c),

@@ -68,10 +68,36 @@ def test_hits_and_clean(spark):
     assert {r.doc_id for r in left.collect()} == {i for i in range(120) if i % 4}
 
 
-def test_several_indexes(spark):
+def test_several_passes_give_the_same_hits(spark, monkeypatch):
     docs, items = corpus()
-    b = spark.createDataFrame(items, "item_id long, text string")
-    assert sum(ix.n for ix in decontam.indexes(b, limit=500)) == 30
+    long = " ".join(f"l{i % 90}" for i in range(300)) + ". the long answer."
+    items += [(100, long), (101, long + " tail of it")]
+    docs += [(500, "before " * 70 + long + " after" * 70), (501, long)]
+    b, d = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    want = sorted(tuple(r) for r in decontam.hits(d, b).collect())
+    assert {(r[0], r[1]) for r in want} >= {(500, 100), (501, 100)}
+    monkeypatch.setattr(decontam, "INDEX_BYTES", 100)
+    passes = list(decontam.indexes(b))
+    assert len(passes) > 10 and sum(ix.n for p in passes for ix in p) == 32
+    assert sorted(tuple(r) for r in decontam.hits(d, b).collect()) == want
+    assert decontam.clean(d, b).count() == d.count() - len({r[0] for r in want})
+
+
+def test_long_items_leave_the_passages_of_short_ones_alone(spark):
+    docs, items = corpus()
+    b, d = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    one = spark.createDataFrame([(900, "x1 " * 8000 + "y.")], "item_id long, text string")
+    with_long = {(r.doc_id, r.item_id, r.passage) for r in decontam.hits(d, b.unionByName(one)).collect()}
+    assert with_long == {(r.doc_id, r.item_id, r.passage) for r in decontam.hits(d, b).collect()}
+
+
+def test_bounded_arrays(monkeypatch):
+    docs, items = corpus(4)
+    ix = decontam.Index(items)
+    _, _, buf, off = next(textvec.slices(pa.array([t for _, t in docs])))
+    want = [x.tolist() for x in ix.search(*textvec.words(buf, off))]
+    monkeypatch.setattr(decontam, "CELLS", 7)
+    assert [x.tolist() for x in ix.search(*textvec.words(buf, off))] == want
 
 
 def test_awkward_rows(spark):
@@ -96,6 +122,8 @@ def test_split_and_grams():
 def test_equals_sql(spark):
     docs, items = corpus(9)
     items[3] = (3, items[3][1].split(". ")[0])  # one sentence
+    items.append((40, " ".join(f"l{i % 70}" for i in range(130)) + ". the long answer."))
+    docs.append((600, "before " * 70 + items[-1][1] + " after" * 70))
     con = duckdb.connect()
     con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
     con.register("benchmark", pd.DataFrame(items, columns=["item_id", "text"]))
