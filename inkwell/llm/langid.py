@@ -5,7 +5,8 @@ A word's probability is the sum, over all ways to cut it into pieces, of the
 product of their probabilities: the forward algorithm. It is trained by
 expectation maximisation (forward and backward) on labelled text. A text's
 score is the sum over its words' log probabilities. All words of a slice of
-texts go through the recursion at once, each different word once.
+texts go through the recursion at once, each different word once. A word of any
+length is summed whole; the sums of long words are scaled as they go.
 
 Words are those of ``textvec`` in lower case; pieces with upper-case letters,
 control pieces and byte pieces are left out. A character that no piece covers
@@ -32,7 +33,9 @@ TRAIN_DOCS = 300
 ROUNDS = 4
 FLOOR = 1e-7  # share of each piece that a language doesn't have
 UNKNOWN = 1e-8
-LONGEST = 64  # bytes of a word that are segmented together; a longer word is scored in pieces of this size
+SCALED = 32  # bytes; sums over longer words are scaled on the way, so that none gets too small (a byte costs 1e-8 at worst)
+ALONE = 1024  # bytes; a longer word goes through the recursion alone
+CELLS = 1 << 23  # sums that are held at once
 _SLICE = 4 * tv.SLICE_BYTES
 
 
@@ -108,23 +111,68 @@ class Pieces:
                         out[j].append((act[hit], j - k, None, False))
         return out
 
-    def forward(self, spans: list[list[tuple]], prob: np.ndarray, n: int) -> np.ndarray:
-        """(words, positions, languages) sums over all segmentations of each prefix; prob: languages x pieces."""
+    def forward(self, spans: list[list[tuple]], prob: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, words, languages) sums over all segmentations of each prefix, and the logarithms of their scales; prob: languages x pieces."""
         top = len(spans)
-        alpha = np.zeros((top, n, len(prob)))
+        alpha, scale = np.zeros((top, n, len(prob))), np.zeros((top, n, len(prob)))
         alpha[0] = prob[:, self.bare] if self.bare >= 0 else 1.0
         p = prob.T
+        now = np.zeros((n, len(prob)))
         for j in range(1, top):
             for act, i, ids, first in spans[j]:
-                if ids is None:
-                    alpha[j, act] += alpha[i, act] * UNKNOWN
-                elif first:
-                    alpha[j, act] += p[ids]
+                if first:
+                    alpha[j, act] += p[ids] * np.exp(-now[act])
                 else:
-                    alpha[j, act] += alpha[i, act] * p[ids]
-        return alpha
+                    alpha[j, act] += alpha[i, act] * (UNKNOWN if ids is None else p[ids])
+            scale[j] = now
+            if j % 8 == 0 and top > SCALED + 1:  # what later positions look back to
+                lo = max(0, j - self.longest - 3)
+                most = alpha[lo : j + 1].max(axis=0)
+                most[most <= 0] = 1.0
+                alpha[lo : j + 1] /= most
+                scale[lo : j + 1] += np.log(most)
+                now = now + np.log(most)
+        return alpha, scale
+
+    def alone(self, sums: np.ndarray, buf: np.ndarray, start: int, n: int, prob: np.ndarray) -> np.ndarray:
+        """Log probabilities (languages) of one long word: all its pieces are looked up at once, then summed from left to right."""
+        lead = np.flatnonzero((buf[start : start + n] & 0xC0) != 0x80)
+        ends = np.append(lead[1:], n)
+        found: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+        for k in self.lengths:
+            at = ends[ends >= k]
+            h = (tv.span_hash(sums, start + at - k, start + at) >> np.uint64(64 - tv.TERM_BITS)).astype(np.int64)
+            got = self.inner.find(h)
+            for e, i in zip(at[got >= 0].tolist(), self.inner_ids[got[got >= 0]].tolist()):
+                found[e].append((e - k, i))
+        first = {}
+        for k in self.lengths:
+            if k <= n:
+                h = (tv.span_hash(sums, np.array([start]), np.array([start + k])) >> np.uint64(64 - tv.TERM_BITS)).astype(np.int64)
+                got = int(self.first.find(h)[0])
+                if got >= 0:
+                    first[k] = int(self.first_ids[got])
+        p = prob.T
+        alpha = {0: p[self.bare].copy() if self.bare >= 0 else np.ones(len(prob))}
+        now, before = np.zeros(len(prob)), dict(zip(ends.tolist(), lead.tolist()))
+        for count, e in enumerate(ends.tolist()):
+            a = alpha[before[e]] * UNKNOWN
+            for i, k in found[e]:
+                if i in alpha:
+                    a = a + alpha[i] * p[k]
+            if e in first:
+                a = a + p[first[e]] * np.exp(-now)
+            alpha[e] = a
+            if count % 8 == 7:
+                alpha = {k: v for k, v in alpha.items() if k >= e - self.longest}
+                most = np.maximum.reduce(list(alpha.values()))
+                most[most <= 0] = 1.0
+                alpha = {k: v / most for k, v in alpha.items()}
+                now = now + np.log(most)
+        return np.log(np.maximum(alpha[n], 1e-300)) + now
 
     def backward(self, spans: list[list[tuple]], prob: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Unscaled, for words of up to SCALED bytes."""
         top = len(spans)
         beta = np.zeros((top, len(lens), len(prob)))
         beta[lens, np.arange(len(lens))] = 1.0
@@ -143,28 +191,22 @@ def distinct_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nda
     starts, ends = tv.word_spans(buf, off)
     row = np.searchsorted(off, starts, side="right") - 1
     lens = ends - starts
-    long = np.flatnonzero(lens > LONGEST)
-    if len(long):  # cut at character boundaries
-        lead = (buf & 0xC0) != 0x80
-        cut_s, cut_e, cut_r = [starts[lens <= LONGEST]], [ends[lens <= LONGEST]], [row[lens <= LONGEST]]
-        for k in long.tolist():
-            at, edges = int(starts[k]), []
-            while at < ends[k]:
-                nxt = min(at + LONGEST, int(ends[k]))
-                while nxt < ends[k] and not lead[nxt]:
-                    nxt -= 1
-                edges.append((at, nxt))
-                at = nxt
-            cut_s.append(np.array([e[0] for e in edges]))
-            cut_e.append(np.array([e[1] for e in edges]))
-            cut_r.append(np.full(len(edges), row[k]))
-        starts, ends, row = np.concatenate(cut_s), np.concatenate(cut_e), np.concatenate(cut_r)
-        lens = ends - starts
     sums = tv.prefix_hash(buf)
     _, first, inv = np.unique(tv.span_hash(sums, starts, ends), return_index=True, return_inverse=True)
     return starts[first], lens[first], inv, row, sums
 
 
+def _short(word: bytes) -> Iterator[bytes]:
+    """A word in pieces of up to SCALED bytes, cut between characters."""
+    while len(word) > SCALED:
+        k = SCALED
+        while k > 1 and word[k] & 0xC0 == 0x80:
+            k -= 1
+        yield word[:k]
+        word = word[k:]
+    yield word
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -178,22 +220,28 @@ class Model:
         if not len(starts) or not self.languages:
             return np.zeros((n, len(self.languages))), np.zeros(n, np.int64)
         order = np.argsort(lens, kind="stable")
+        sizes = lens[order]
         log = np.zeros((len(starts), len(self.languages)))
         lo = 0
         while lo < len(order):  # groups of words of about one length
-            hi = int(np.searchsorted(lens[order], max(lens[order[lo]], 1) + 4, side="right"))
-            hi = min(hi, lo + 20_000)
+            size = int(lens[order[lo]])
+            if size > ALONE:
+                log[order[lo]] = self.pieces.alone(sums, buf, int(starts[order[lo]]), size, self.prob)
+                lo += 1
+                continue
+            hi = int(np.searchsorted(sizes, size + max(4, size // 8), side="right"))
+            hi = min(hi, lo + 20_000, lo + max(1, CELLS // (size * 9 // 8 + 5) // len(self.languages)))
             g = order[lo:hi]
             spans = self.pieces.spans(sums, buf, starts[g], lens[g])
-            alpha = self.pieces.forward(spans, self.prob, len(g))
-            log[g] = np.log(np.maximum(alpha[lens[g], np.arange(len(g))], 1e-300))
+            alpha, scale = self.pieces.forward(spans, self.prob, len(g))
+            log[g] = np.log(np.maximum(alpha[lens[g], np.arange(len(g))], 1e-300)) + scale[lens[g], np.arange(len(g))]
             lo = hi
         out = np.stack([np.bincount(row, log[inv, k], n) for k in range(log.shape[1])], 1)
         return out, np.bincount(row, minlength=n)
 
 
 def fit(texts: pa.Array, langs: list[str], vocabulary: str = VOCABULARY, rounds: int = ROUNDS) -> Model:
-    """Expectation maximisation from equal shares, for each language on its own texts (lower-cased)."""
+    """Expectation maximisation from equal shares, for each language on its own texts (lower-cased). For this, words of over SCALED bytes are cut; scoring sums them whole."""
     table = Pieces(*pieces(vocabulary))
     names = sorted(set(langs))
     prob = np.full((len(names), table.n), 1.0 / table.n)
@@ -203,8 +251,8 @@ def fit(texts: pa.Array, langs: list[str], vocabulary: str = VOCABULARY, rounds:
         for _, _, buf, off in tv.slices(mine, _SLICE):
             starts, lens, inv, _, _ = distinct_words(buf, off)
             for s, n, c in zip(starts.tolist(), lens.tolist(), np.bincount(inv).tolist()):
-                w = buf[s : s + n].tobytes()
-                seen[w] = seen.get(w, 0) + c
+                for w in _short(buf[s : s + n].tobytes()):
+                    seen[w] = seen.get(w, 0) + c
         if not seen:
             continue
         words = sorted(seen, key=lambda w: (len(w), w))
@@ -222,7 +270,7 @@ def fit(texts: pa.Array, langs: list[str], vocabulary: str = VOCABULARY, rounds:
             p = prob[k : k + 1]
             got = np.zeros(table.n)
             for lo, hi, spans in groups:
-                alpha, beta = table.forward(spans, p, hi - lo)[:, :, 0], table.backward(spans, p, lens[lo:hi])[:, :, 0]
+                alpha, beta = table.forward(spans, p, hi - lo)[0][:, :, 0], table.backward(spans, p, lens[lo:hi])[:, :, 0]
                 z = np.maximum(alpha[lens[lo:hi], np.arange(hi - lo)], 1e-300)
                 share = count[lo:hi] / z
                 if table.bare >= 0:
