@@ -31,6 +31,7 @@ from inkwell.llm.storage import prepare
 TRAIN_PAGES = 600
 ADJACENT = 0.8  # cost of a change between neighbours in reading order
 NEAR = 0.8  # of blocks with one parent; halved with each further step in the tree
+STEPS = 4  # levels up from a block within which its neighbour counts as near
 MARK = 2.0
 
 _TOKEN = re.compile(
@@ -50,7 +51,10 @@ _WORD = re.compile(r"[^\W_]+")
 @dataclass(slots=True)
 class Block:
     text: str
-    path: tuple[int, ...]  # tree nodes from the root
+    node: int  # its element
+    parent: int  # the element's parent
+    depth: int
+    shared: int  # depth of the deepest element that holds this block and the one before
     tag: str
     words: int
     linked: int
@@ -61,16 +65,27 @@ def blocks(source: str) -> list[Block]:
     """Text blocks of a page; broken markup never fails."""
     out: list[Block] = []
     stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, node, mark
-    nodes, links, pieces, link_words = 0, 0, [], 0
+    opened: dict[str, list[int]] = {}  # depths of the open elements by tag
+    nodes, links, pieces, link_words, low = 0, 0, [], 0, 0
     at = 0
 
     def close() -> None:
-        nonlocal pieces, link_words
+        nonlocal pieces, link_words, low
+        if not pieces:
+            return
         text = " ".join(html.unescape("".join(pieces)).split())
         if text:
-            out.append(Block(text, tuple(n for _, n, _ in stack), stack[-1][0], len(_WORD.findall(text)), link_words, stack[-1][2]))
+            out.append(Block(text, stack[-1][1], stack[-2][1] if len(stack) > 1 else -1, len(stack) - 1, low, stack[-1][0], len(_WORD.findall(text)), link_words, stack[-1][2]))
+            low = len(stack) - 1
         pieces, link_words = [], 0
 
+    def drop(depth: int) -> None:
+        """Closes all elements from a depth on."""
+        nonlocal low
+        while len(stack) > depth:
+            opened[stack.pop()[0]].pop()
+        low = min(low, len(stack) - 1)
+
     def say(text: str) -> None:
         nonlocal link_words
         pieces.append(text)
@@ -94,24 +109,21 @@ def blocks(source: str) -> list[Block]:
             continue
         close()
         if m.group(2):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    links = 0
-                    break
+            if opened.get(name):
+                drop(opened[name][-1])
+                links = 0
             continue
         if name in _VOID or m.group(4).endswith("/"):
             continue
-        if name in _CLOSES_P and stack[-1][0] == "p":
-            stack.pop()
-        elif name == stack[-1][0] and name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            stack.pop()
+        if (name in _CLOSES_P and stack[-1][0] == "p") or (name == stack[-1][0] and name in ("li", "dt", "dd", "tr", "td", "th", "option")):
+            drop(len(stack) - 1)
         mark = stack[-1][2]
         if name in _GOOD:
             mark = 1
         elif name in _BAD or (m.group(4) and any(_BAD_CLASS.search(c) for c in _CLASS.findall(m.group(4)))):
             mark = -1
         nodes += 1
+        opened.setdefault(name, []).append(len(stack))
         stack.append((name, nodes, mark))
     if at < len(source):
         say(source[at:])
@@ -175,20 +187,19 @@ def fit(pages: list[str]) -> Model:
 
 
 def edges(found: list[Block]) -> list[tuple[int, int, float]]:
-    """(i, j, cost): neighbours, and each block with the next one under each of its nearest ancestors."""
+    """(i, j, cost): neighbours in reading order, dearer the nearer they are in the tree, and each block with the last one before it whose element has the same parent, past what stands between them."""
     out: dict[tuple[int, int], float] = {}
-    for i in range(len(found) - 1):
-        out[i, i + 1] = ADJACENT
-    last: dict[int, int] = {}
+    under: dict[int, int] = {}
     for i, b in enumerate(found):
-        for up, node in enumerate(b.path[: -5 : -1] if len(b.path) > 4 else b.path[::-1]):
-            j = last.get(node)
-            if j is not None:
-                far = max(up, len(found[j].path) - 1 - found[j].path.index(node))
-                out[j, i] = out.get((j, i), 0.0) + NEAR * 0.5**far
-                break
-        for node in b.path:
-            last[node] = i
+        if i:
+            cost, up = ADJACENT, b.depth - b.shared
+            if up < STEPS:
+                cost += NEAR * 0.5 ** max(up, found[i - 1].depth - b.shared)
+            out[i - 1, i] = cost
+        j = under.get(b.parent)
+        if j is not None and j < i - 1:
+            out[j, i] = NEAR * 0.5
+        under[b.parent] = i
     return [(i, j, c) for (i, j), c in out.items()]
 
 

@@ -233,12 +233,12 @@ def located(buf: np.ndarray, model: Model, table: tv.TermTable) -> list[dict]:
     number = np.searchsorted(np.unique(sent), s)
     ends = np.flatnonzero(_END[buf])
     out = []
+    chars = np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))  # characters before each byte
     for k in take.tolist():
         lo = int(starts[np.searchsorted(sent, s[k])])
         stop = np.searchsorted(ends, lo)
         hi = int(ends[stop]) + 1 if stop < len(ends) else len(buf)
-        chars = lambda x: len(buf[:x].tobytes().decode("utf-8", "replace"))
-        out.append({"sentence": int(number[k]), "start": chars(lo), "end": chars(hi), "prob": float(p[k])})
+        out.append({"sentence": int(number[k]), "start": int(chars[lo]), "end": int(chars[hi]), "prob": float(p[k])})
     return out
 
 

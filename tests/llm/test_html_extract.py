@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import time
+from dataclasses import replace
+
 import itertools
 
 import numpy as np
@@ -53,7 +56,7 @@ def test_held_out_pages(spark):
     right = total = 0
     for r in pages.where("page_id % 2 = 1").collect():
         found = H.blocks(r.html)
-        plain = [H.Block(b.text, b.path, b.tag, b.words, b.linked, 0) for b in found]  # without the marks
+        plain = [replace(b, mark=0) for b in found]  # without the marks
         keep = H.minimum_cut(model.log_odds(plain), H.edges(plain))
         right += sum(bool(k) == (b.mark > 0) for k, b in zip(keep, found))
         total += len(found)
@@ -68,3 +71,20 @@ def test_awkward_rows(spark):
     assert sum(r.page_id is None for r in rows) == 1
     assert {r.page_id: r.text for r in rows if r.page_id in (2, 3)} == {2: "", 3: ""}
     assert H.extracted(d.limit(0), H.train(d.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("source", ["<div>x" * 40_000, "<p>some words that go on. " * 20_000, "<div>x</span></b></p>" * 20_000, '<a href="x' * 5000, "<ul>" + "<li>x y z" * 20_000])
+def test_unclosed_tags_take_linear_time(source):
+    began = time.process_time()
+    H.extract(source, H.DEFAULT)
+    assert time.process_time() - began < 10
+
+
+def test_edges_follow_the_tree():
+    found = H.blocks("<div><p>a</p><p>b</p><aside><div>ad</div></aside><p>c</p></div><footer>f</footer>")
+    assert [b.text for b in found] == ["a", "b", "ad", "c", "f"]
+    assert [(b.depth, b.shared) for b in found] == [(2, 0), (2, 1), (3, 1), (2, 1), (1, 0)]
+    cost = {(i, j): c for i, j, c in H.edges(found)}
+    assert cost[1, 3] == H.NEAR * 0.5  # past the aside
+    assert cost[0, 1] > cost[1, 2] > H.ADJACENT
+    assert set(cost) == {(0, 1), (1, 2), (2, 3), (3, 4), (1, 3)}
