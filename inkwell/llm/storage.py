@@ -4,21 +4,14 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.sources.store import remove, shared_dir
-
-_left: list[tuple[SparkSession, str]] = []
+from inkwell.sources.store import prepare, remove, shared_dir
 
+__all__ = ["Written", "prepare"]
 
-def prepare(spark: SparkSession) -> None:
-    """Lets Python workers that start in another folder import this package."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = f"{root}:{env['PYTHONPATH']}" if env.get("PYTHONPATH") else root
+_left: list[tuple[SparkSession, str]] = []
 
 
 class Written:
