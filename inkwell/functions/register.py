@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from inkwell.functions.snippet import Keyword, Snippets
 from inkwell.functions.text import normalize
 from inkwell.operators.tokenize import TOKENS, Tokenizer
+from inkwell.sources.store import prepare
 
 
 def register(spark: SparkSession) -> None:
     """normalize_text(text), tokenize(text, kind), snippet(text, keyword, width, max_results, open, close)."""
+    prepare(spark)
 
     @F.pandas_udf("string")
     def normalize_text(s: pd.Series) -> pd.Series:

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import byte_offsets, is_space, normalize_with_offsets
+from inkwell.sources.store import prepare_active
 
 MAX_RESULTS, MAX_KEYWORDS, MAX_TAGS = 16, 32, 512
 _ESCAPES = {"<": "&lt;", ">": "&gt;", "&": "&amp;", '"': "&quot;"}
@@ -131,6 +132,7 @@ class Snippets:
 
 def snippet(c: Column, keywords: list[tuple[str, str, str]], width: int = 100, max_results: int = 3, normalize: bool = True, skip_leading_spaces: bool = False, escape: bool = False, whole_if_none: bool = False) -> Column:
     """Snippets of a text column, an array; ``whole_if_none``: the first ``width`` characters of a text without a hit."""
+    prepare_active()
     cut = Snippets([Keyword(*k) for k in keywords], width, max_results, normalize, skip_leading_spaces, escape)
 
     @F.pandas_udf("array<string>")

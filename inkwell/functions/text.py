@@ -9,6 +9,7 @@ from itertools import accumulate
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from inkwell.sources.store import prepare_active
 
 SPACE = "[ \\f\\n\\r\\t\\x0B\\u3000]"
 _SPACES = frozenset(" \f\n\r\t\v　")
@@ -123,6 +124,7 @@ def normalize(s: str | None, remove_blank: bool = False, glue_controls: bool = T
 
 def normalize_text(c: Column, remove_blank: bool = False, glue_controls: bool = True) -> Column:
     """Full normalisation as an Arrow UDF."""
+    prepare_active()
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:

@@ -14,7 +14,7 @@ from inkwell.operators.tokenize import Tokenizer
 from inkwell.sources import store
 
 VALUES = "array<struct<str:string,weight:int>>"
-VALUE_GAP = 1 << 20  # positions between the beginnings of a section's values
+VALUE_GAP = 1 << 32  # positions between the beginnings of a section's values; no value has as many tokens
 
 
 def sections(df: DataFrame, key: str, columns: list[str | Column], weights: list[int] | None = None) -> DataFrame:
@@ -36,7 +36,8 @@ def postings(rows: DataFrame, tokenizer: Tokenizer, compat: Compat = DEFAULT) ->
     """
     value = rows.select("rid", "sid", F.posexplode("values").alias("vno", "v"))
     token = value.select("rid", "sid", "vno", F.coalesce("v.weight", F.lit(0)).alias("weight"), F.explode(tokenizer.column(F.col("v.str"))).alias("t"))
-    pos = F.col("t.pos") if compat.overlap_values else F.col("t.pos") + F.col("vno") * VALUE_GAP
+    at = F.col("t.pos").cast("long")
+    pos = at if compat.overlap_values else at + F.col("vno").cast("long") * F.lit(VALUE_GAP)
     token = token.select(F.col("t.term").alias("term"), "rid", "sid", pos.alias("pos"), "weight")
     out = token.groupBy("term", "rid", "sid").agg(F.count("*").cast("int").alias("tf"), F.sum("weight").cast("int").alias("wsum"), F.sort_array(F.collect_list("pos")).alias("positions"))
     if compat.tf_cap:
@@ -149,7 +150,12 @@ class TextIndex:
         return TextIndex.open(self.spark, self.path, self.compat, self.tokenizer.analyse)
 
     def mark_deleted(self, keys: DataFrame) -> TextIndex:
-        """Logical deletion: documents stay in the index but ``live`` leaves them out."""
+        """Logical deletion: documents stay in the index but ``live`` leaves them out, and ``compact`` drops them. Under a path the mark is written, and a later update of the document lifts it."""
+        if self.path is not None:
+            marks = keys.select("rid").distinct().withColumn("deleted", F.lit(True))
+            none = marks.limit(0).select("rid", F.lit(None).cast("int").alias("sid"))
+            self._write(f"{self.path}/delta-{self._next():06d}", self.postings.limit(0), marks, none)
+            return TextIndex.open(self.spark, self.path, self.compat, self.tokenizer.analyse)
         mark = keys.select("rid").distinct().withColumn("mark_", F.lit(True))
         return replace(self, docs=self.docs.join(mark, "rid", "left").select("rid", (F.col("deleted") | F.coalesce("mark_", F.lit(False))).alias("deleted")))
 
@@ -157,8 +163,9 @@ class TextIndex:
         return replace(self, postings=self.postings.join(self.docs.where("deleted"), "rid", "left_anti"))
 
     def compact(self) -> TextIndex:
-        """Merges all deltas into a new base; readers of the old one aren't disturbed."""
-        self._write(f"{self.path}/base-{self._next():06d}", self.postings, self.docs.where("not deleted"))
+        """Merges all deltas into a new base, without what is deleted; readers of the old one aren't disturbed."""
+        live = self.live()
+        self._write(f"{self.path}/base-{self._next():06d}", live.postings, live.docs.where("not deleted"))
         return TextIndex.open(self.spark, self.path, self.compat, self.tokenizer.analyse)
 
     def rename(self, path: str) -> TextIndex:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import byte_offsets, normalize_text, normalize_with_offsets
+from inkwell.sources.store import prepare_active
 
 #: Keys up to which a dictionary is sent to the workers whole; beyond, texts are cut and joined.
 DICTIONARY_KEYS = 1_000_000
@@ -156,6 +157,7 @@ def dictionary_scan(texts: DataFrame, column: Column, table: DataFrame, key: str
     DICTIONARY_KEYS is joined with all spans of the texts, with the same hits.
     Of keys that normalise alike the least is reported.
     """
+    prepare_active()
     spark = texts.sparkSession
     kind = "array<struct<key:string,offset:int,length:int>>"
     if table.limit(DICTIONARY_KEYS + 1).count() > DICTIONARY_KEYS:

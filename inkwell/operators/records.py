@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from inkwell.compat import DEFAULT, Compat
 
 UNITS = {"document": ("rid",), "section": ("rid", "sid"), "position": ("rid", "sid", "pos")}
-_TYPES = {"sid": "int", "pos": "int"}
+_TYPES = {"sid": "int", "pos": "long"}
 
 
 @dataclass(frozen=True)

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
 from inkwell.operators.index import TextIndex
+from inkwell.operators.lexicon import common_prefix_join
 from inkwell.operators.records import UNITS, Records
+from inkwell.sources.store import prepare_active
 
 
 Weight = int | dict[int, int] | Callable[[Column, Column], Column]
@@ -30,7 +32,7 @@ def _cond(index: TextIndex, how: str, term: str) -> Column:
     return c == term
 
 
-def _plan(index: TextIndex, text: str, mode: str) -> list[tuple[str, str, int]]:
+def token_plan(index: TextIndex, text: str, mode: str) -> list[tuple[str, str, int]]:
     """(expansion, term, offset) of each query token."""
     if mode == "unsplit":
         whole = T.normalize(text, glue_controls=index.compat.glue_controls) if index.tokenizer.normalize else text
@@ -100,7 +102,7 @@ def select(index: TextIndex, text: str, mode: str = "exact", unit: str = "docume
         return similar(index, text, threshold, unit, weight, expand)
     if mode == "term_extract":
         return term_extract(index, text, policy, unit, weight)
-    plan = _plan(index, text, mode)
+    plan = token_plan(index, text, mode)
     if not plan:
         return _nothing(index, unit)
     hit = _tokens_hit(index, plan)
@@ -157,6 +159,7 @@ def windows(positions: list[list[int]], interval: int) -> int:
 
 
 def _near(hit: DataFrame, n: int, interval: int, aligned: bool) -> DataFrame:
+    prepare_active()
     shift = F.col("off") if aligned else F.lit(0)
     lists = hit.withColumn("ps_", F.transform("positions", lambda p: p - shift))
     lists = lists.withColumn("ps_", F.filter("ps_", lambda p: p >= 0))
@@ -172,7 +175,7 @@ def _near(hit: DataFrame, n: int, interval: int, aligned: bool) -> DataFrame:
 
 def near_hits(index: TextIndex, text: str, interval: int = 10) -> DataFrame:
     """(rid, sid) in which all tokens stand within ``interval`` of each other: the relational form of near2, without counts."""
-    plan = _plan(index, text, "exact")
+    plan = token_plan(index, text, "exact")
     place = _tokens_hit(index, plan).repartition("rid").select("rid", "sid", "tok", F.explode("positions").alias("pos"))
     w = Window.partitionBy("rid", "sid").orderBy("pos").rangeBetween(0, interval)
     seen = place.withColumn("toks_", F.collect_set("tok").over(w))
@@ -228,14 +231,14 @@ def term_extract(index: TextIndex, text: str, policy: int = 0, unit: str = "docu
     on by one character and adds the weight per posting.
     """
     norm = T.normalize(text, glue_controls=index.compat.glue_controls) or ""
-    most = index.postings.agg(F.max(F.length("term"))).first()[0] or 0
-    cut = sorted({norm[i:j] for i in range(len(norm)) for j in range(i + 1, min(len(norm), i + most) + 1)})
     spark = index.spark
-    # few distinct pieces of one text: a semi join finds those that are terms
-    known = {r.term for r in index.postings.join(F.broadcast(spark.createDataFrame([(c,) for c in cut], "term string")), "term", "left_semi").select("term").distinct().collect()} if cut else set()
+    # the longest term at each place, by a join on the prefixes of what follows it
+    begins = spark.createDataFrame([(i, norm[i:]) for i in range(len(norm))], "i int, rest string")
+    got = common_prefix_join(begins, "rest", index.postings.select("term").distinct(), "term").where("found is not null").select("i", "found").collect() if norm else []
+    longest = {r.i: r.found for r in got}
     places, i = [], 0
     while i < len(norm):
-        best = next((norm[i : i + n] for n in range(min(most, len(norm) - i), 0, -1) if norm[i : i + n] in known), None)
+        best = longest.get(i)
         if best:
             places.append((best, len(norm[:i].encode())))
         i += len(best) if best and policy == 0 else 1

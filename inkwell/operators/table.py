@@ -69,10 +69,12 @@ class Table:
         return out
 
     def upsert(self, rows: DataFrame) -> Table:
-        """New rows, or new values of rows with the same key. Index columns over changed slots are brought up to date."""
+        """New rows, or new values of rows with the same key. Of rows that repeat a key the one that sorts last counts. Index columns over changed slots are brought up to date."""
         cols = [self.key, *[s for s, k in self.slots.items() if k.kind != "index"]]
         have = [c for c in cols if c in rows.columns]
         new = rows.select(*[conform(F.col(c), self.slots[c].kind).alias(c) if c in self.slots and self.slots[c].kind in RAW else F.col(c) for c in have])
+        by = F.struct(*[c for c in have if c != self.key]) if len(have) > 1 else F.lit(0)
+        new = new.groupBy(self.key).agg(F.max(by).alias("row_")).select(self.key, *([F.col("row_")[c].alias(c) for c in have if c != self.key] if len(have) > 1 else [])).select(have)
         missing = [c for c in cols if c not in have]
         if missing:  # other slots keep their values
             new = new.join(self.df.select(self.key, *missing), self.key, "left").select(cols)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.compat import DEFAULT, Compat
 from inkwell.functions import text as T
+from inkwell.sources.store import prepare_active
 
 TOKENS = "array<struct<term:string,pos:int>>"
 _RUNS = {T.ALPHA: "split_alpha", T.DIGIT: "split_digit", T.SYMBOL: "split_symbol"}
@@ -35,6 +36,7 @@ class Tokenizer:
         """Tokens for the index."""
         if self.kind == "delimited" and not self.normalize:
             return delimited(c)
+        prepare_active()
         tok = self
 
         @F.pandas_udf(TOKENS)
@@ -111,13 +113,9 @@ def ngrams(s: str, how: Tokenizer, query: bool) -> list[tuple[str, int, bool]]:
     return out
 
 
-def runs(c: Column) -> Column:
-    """Letter, digit and symbol runs of text in a script without pairs, native; positions count characters without blanks."""
-    norm = F.lower(c)
-    words = F.regexp_extract_all(norm, F.lit(r"(\p{L}+|\p{N}+|[\p{P}\p{S}]+)"), F.lit(1))
-    ends = F.aggregate(
-        words,
-        F.array().cast(TOKENS),
-        lambda acc, w: F.concat(acc, F.array(F.struct(w.alias("term"), F.when(F.size(acc) == 0, 0).otherwise(F.element_at(acc, -1)["pos"] + F.length(F.element_at(acc, -1)["term"])).alias("pos")))),
-    )
-    return ends
+def run_rows(df: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, term, pos): letter, digit and symbol runs of text in a script without pairs, native; positions count characters without blanks. A row's key names its text."""
+    words = F.regexp_extract_all(F.lower(column), F.lit(r"(\p{L}+|\p{N}+|[\p{P}\p{S}]+)"), F.lit(1))
+    at = df.select(key, F.posexplode(words).alias("i_", "term"))
+    before = Window.partitionBy(key).orderBy("i_").rowsBetween(Window.unboundedPreceding, -1)
+    return at.select(key, "term", F.coalesce(F.sum(F.length("term")).over(before), F.lit(0)).cast("int").alias("pos"))

@@ -13,9 +13,9 @@ from inkwell.functions.snippet import snippet
 from inkwell.operators import lexicon
 from inkwell.operators.index import TextIndex, fresh_path, postings, sections
 from inkwell.operators.records import Records, merge
-from inkwell.operators.select import near_hits, select, similar, term_extract
+from inkwell.operators.select import near_hits, sel, select, similar, term_extract
 from inkwell.operators.table import Catalog, Slot, Table
-from inkwell.operators.tokenize import Tokenizer, delimited, runs
+from inkwell.operators.tokenize import Tokenizer, delimited, run_rows
 from inkwell.plans import qparse as Q
 from inkwell.plans.qcompile import search
 from inkwell.plans.qscan import scan
@@ -63,7 +63,7 @@ def _found(s: SparkSession, d: str, text: str, **how: object) -> DataFrame:
 @query(f"WITH {TOK} SELECT term, rid, 1 AS sid, count(*)::INTEGER AS tf, 0 AS wsum, min(pos)::INTEGER AS first_pos, max(pos)::INTEGER AS last_pos FROM tok GROUP BY term, rid")
 def idx_postings_delimited(s: SparkSession, d: str) -> DataFrame:
     p = postings(sections(table(s, d, "documents"), "doc_id", ["text"]), Tokenizer())
-    return p.select("term", "rid", "sid", "tf", "wsum", F.col("positions")[0].alias("first_pos"), F.element_at("positions", -1).alias("last_pos"))
+    return p.select("term", "rid", "sid", "tf", "wsum", F.col("positions")[0].cast("int").alias("first_pos"), F.element_at("positions", -1).cast("int").alias("last_pos"))
 
 
 @query(f"WITH {TOK} SELECT term, count(DISTINCT rid)::BIGINT AS df, count(*)::BIGINT AS cf, length(term)::INTEGER AS n_chars FROM tok GROUP BY term")
@@ -71,9 +71,10 @@ def idx_lexicon_stats(s: SparkSession, d: str) -> DataFrame:
     return index(s, d).lexicon()
 
 
-@query(f"WITH {TOK} SELECT count(*)::BIGINT AS tokens, count(DISTINCT term)::BIGINT AS terms, count(DISTINCT rid)::BIGINT AS documents FROM tok")
+@query(f"WITH {TOK} SELECT count(DISTINCT (term, rid))::BIGINT AS postings, count(*)::BIGINT AS tokens, count(DISTINCT term)::BIGINT AS terms, (SELECT count(*) FROM documents WHERE text IS NOT NULL)::BIGINT AS documents FROM tok")
 def idx_info(s: SparkSession, d: str) -> DataFrame:
-    return index(s, d).postings.agg(F.sum("tf").cast("long").alias("tokens"), F.count_distinct("term").alias("terms"), F.count_distinct("rid").alias("documents"))
+    got = index(s, d).info()
+    return s.createDataFrame([(got["postings"], got["tokens"], got["terms"], got["documents"])], "postings long, tokens long, terms long, documents long")
 
 
 @query(f"""WITH {TOK}, t AS (SELECT DISTINCT term FROM tok) SELECT term FROM t WHERE starts_with(term, 'tho')""")
@@ -83,9 +84,7 @@ def lex_prefix(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {TOK}, t AS (SELECT DISTINCT term FROM tok) SELECT term FROM t WHERE suffix(term, 'é') AND EXISTS (SELECT 1 FROM t WHERE term = 'é')""")
 def lex_suffix(s: SparkSession, d: str) -> DataFrame:
-    lex = index(s, d).lexicon().select("term")
-    there = lex.where(F.col("term") == "é").select(F.lit(1).alias("one_")).limit(1)  # a row at most
-    return lex.where(F.col("term").endswith("é")).crossJoin(F.broadcast(there)).select("term")
+    return lexicon.suffix_search(index(s, d).lexicon().select("term"), "é", "term")
 
 
 _TOKS = lambda t, i: f"(SELECT DISTINCT unnest(list_filter(regexp_split_to_array(text, {SPLIT}), lambda x: x <> '')) AS term FROM {t})"
@@ -141,7 +140,7 @@ def sel_suffix(s: SparkSession, d: str) -> DataFrame:
     return _scores(select(ix, "éré", "suffix"))
 
 
-@query(f"WITH {TOK} SELECT rid, 1 AS sid, pos::INTEGER AS pos, 1::BIGINT AS score FROM tok WHERE term = 'der'")
+@query(f"WITH {TOK} SELECT rid, 1 AS sid, pos::BIGINT AS pos, 1::BIGINT AS score FROM tok WHERE term = 'der'")
 def sel_position_unit(s: SparkSession, d: str) -> DataFrame:
     return _scores(select(index(s, d), "der", unit="position"))
 
@@ -174,6 +173,84 @@ def sel_term_extract(s: SparkSession, d: str) -> DataFrame:
     return _scores(term_extract(index(s, d), "theandder", policy=1))
 
 
+@query(f"""WITH {TOK}, {TF}, m AS (SELECT max(length(term)) AS most FROM tf), txt AS (SELECT 'theandder' AS x),
+best AS (SELECT i, max(length(term)) AS n FROM range(9) p(i), txt, (SELECT DISTINCT term FROM tf) l WHERE starts_with(substr(x, i + 1), term) GROUP BY i),
+place AS (WITH RECURSIVE w(i) AS (SELECT 0::BIGINT UNION ALL SELECT w.i + coalesce((SELECT n FROM best WHERE best.i = w.i), 1) FROM w WHERE w.i < 9) SELECT w.i, n FROM w JOIN best USING (i))
+SELECT rid, i::INTEGER AS sid, (i + 1)::BIGINT AS score FROM place, txt JOIN tf ON TRUE WHERE tf.term = substr(x, place.i + 1, place.n)""")
+def sel_term_extract_places(s: SparkSession, d: str) -> DataFrame:
+    return _scores(term_extract(index(s, d), "theandder", policy=0))
+
+
+@query(f"WITH {TOK}, {TF} SELECT rid, arg_min(tf, first_pos)::BIGINT AS score FROM tf WHERE starts_with(term, 'thing') GROUP BY rid")
+def sel_unsplit(s: SparkSession, d: str) -> DataFrame:
+    return _scores(select(index(s, d), "thing", "unsplit"))
+
+
+@query(f"WITH {TOK}, st AS (SELECT DISTINCT a.rid, a.pos FROM tok a JOIN tok b ON a.rid = b.rid AND b.pos = a.pos + 1 WHERE a.term = 'of' AND starts_with(b.term, 'th')) SELECT rid, count(*)::BIGINT AS score FROM st GROUP BY rid")
+def sel_partial(s: SparkSession, d: str) -> DataFrame:
+    return _scores(select(index(s, d), "of th", "partial"))
+
+
+@query(f"WITH {TOK}, {TF} SELECT rid, arg_min(tf, first_pos)::BIGINT AS score FROM tf WHERE starts_with(term, 'thou') AND NOT EXISTS (SELECT 1 FROM tf WHERE term = 'thou') GROUP BY rid UNION ALL SELECT rid, tf FROM tf WHERE term = 'thou'")
+def sel_staged(s: SparkSession, d: str) -> DataFrame:
+    return _scores(sel(index(s, d), "thou"))
+
+
+@query(f"WITH {TOK}, {TF} SELECT rid, (tf * (1 + rid % 3))::BIGINT AS score FROM tf WHERE term = 'the'")
+def sel_weight_function(s: SparkSession, d: str) -> DataFrame:
+    return _scores(select(index(s, d), "the", weight=lambda rid, sid: 1 + rid % 3))
+
+
+@query(f"WITH {TOK}, {TF} SELECT rid, (tf * 11)::BIGINT AS score FROM tf WHERE term = 'the'")
+def sel_value_weights(s: SparkSession, d: str) -> DataFrame:
+    ix = TextIndex.build(sections(table(s, d, "documents"), "doc_id", ["text"], weights=[10]))
+    return _scores(select(ix, "the"))
+
+
+@query(f"WITH {TOK}, {TF} SELECT rid, tf AS score FROM tf WHERE term = 'the' AND rid IN (SELECT rid FROM tf WHERE term = 'of')")
+def sel_within(s: SparkSession, d: str) -> DataFrame:
+    ix = index(s, d)
+    return _scores(select(ix, "the", within=select(ix, "of")))
+
+
+# --- over a saved index
+
+
+def saved(s: SparkSession, d: str) -> TextIndex:
+    return index(s, d).save(fresh_path(s))
+
+
+@query(f"WITH {TOK} SELECT rid, count(*)::BIGINT AS score FROM tok WHERE term = 'the' GROUP BY rid")
+def idx_saved_term(s: SparkSession, d: str) -> DataFrame:
+    return _scores(select(saved(s, d), "the"))
+
+
+_CHANGED = f"""x AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'the new of text' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 4),
+tf AS (SELECT doc_id AS rid, len(list_filter(w, lambda t: t = 'the')) AS a, len(list_filter(w, lambda t: t = 'of')) AS b FROM (SELECT doc_id, regexp_split_to_array(text, {SPLIT}) AS w FROM x))"""
+
+
+def _changed(s: SparkSession, d: str) -> TextIndex:
+    docs = table(s, d, "documents")
+    ix = saved(s, d).upsert(sections(docs.where("doc_id % 10 = 3").withColumn("text", F.lit("the new of text")), "doc_id", ["text"]))
+    return ix.delete(docs.where("doc_id % 10 = 4").select(F.col("doc_id").alias("rid")))
+
+
+@query(f"WITH {_CHANGED} SELECT rid, (5 * (a + b))::BIGINT AS score FROM tf WHERE a > 0 AND b > 0")
+def idx_delta_query(s: SparkSession, d: str) -> DataFrame:
+    return _scores(search(_changed(s, d), "+the +of"))
+
+
+@query(f"WITH {_CHANGED} SELECT rid, (5 * a)::BIGINT AS score FROM tf WHERE a > 0 AND b = 0")
+def idx_compacted_query(s: SparkSession, d: str) -> DataFrame:
+    return _scores(search(_changed(s, d).compact(), "the -of"))
+
+
+@query(f"WITH {TOK}, {TF} SELECT rid, tf AS score FROM tf WHERE term = 'the' AND rid % 7 <> 0")
+def idx_logical_delete(s: SparkSession, d: str) -> DataFrame:
+    gone = table(s, d, "documents").where("doc_id % 7 = 0").select(F.col("doc_id").alias("rid"))
+    return _scores(select(saved(s, d).mark_deleted(gone).compact(), "the"))
+
+
 # --- query language; base weight 5
 
 
@@ -269,10 +346,10 @@ def rec_union(s: SparkSession, d: str) -> DataFrame:
     return _scores(a.union(b))
 
 
-@query(_q("SELECT rid FROM t_the WHERE rid IN (SELECT rid FROM t_of)"))
+@query(_q("SELECT rid, CASE WHEN (SELECT count(*) FROM t_the) <= (SELECT count(*) FROM t_of) THEN a.tf ELSE b.tf END AS score FROM t_the a JOIN t_of b USING (rid)"))
 def rec_intersect(s: SparkSession, d: str) -> DataFrame:
     a, b = _two(s, d)
-    return a.intersect(b).df.select("rid")
+    return _scores(a.intersect(b))
 
 
 @query(_q("SELECT rid, tf AS score FROM t_the WHERE rid NOT IN (SELECT rid FROM t_of)"))
@@ -284,7 +361,7 @@ def rec_subtract(s: SparkSession, d: str) -> DataFrame:
 @query(_q("SELECT rid, tf AS score, 'a' AS side FROM t_the WHERE rid NOT IN (SELECT rid FROM t_of) UNION ALL SELECT rid, tf, 'b' FROM t_of WHERE rid NOT IN (SELECT rid FROM t_the)"))
 def rec_difference(s: SparkSession, d: str) -> DataFrame:
     a, b = _two(s, d)
-    x, y = a.subtract(b), b.subtract(a)
+    x, y, _ = a.difference(b)
     return _scores(x).withColumn("side", F.lit("a")).unionByName(_scores(y).withColumn("side", F.lit("b")))
 
 
@@ -473,18 +550,18 @@ def fn_substrb(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, coalesce(try_cast(substr(source, 4) AS DOUBLE), 0) AS n, coalesce(try_cast(source AS DOUBLE), 0) AS none FROM documents")
 def fn_tonumber(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select("doc_id", S.to_number(F.substring("source", 4, 100)).alias("n"), S.to_number(F.col("source")).alias("none"))
+    return table(s, d, "documents").select("doc_id", S.to_number(F.expr("substring(source, 4)")).alias("n"), S.to_number(F.col("source")).alias("none"))
 
 
-@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS str, strptime(strftime(ts, '%Y/%m/%d %H:%M:%S'), '%Y/%m/%d %H:%M:%S') AS back FROM events")
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS str, ts AS back FROM events")
 def fn_time(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events")
-    return e.select("event_id", S.timestr(F.col("ts")).alias("str"), S.to_time(F.date_format("ts", "yyyy/MM/dd HH:mm:ss")).alias("back"))
+    return e.select("event_id", S.timestr(F.col("ts")).alias("str"), S.to_time(F.date_format("ts", "yyyy/MM/dd HH:mm:ss.SSSSSS")).alias("back"))
 
 
-@query("SELECT event_id, props->>'$.k' AS k FROM events")
+@query("SELECT event_id, props->>'$.k' AS k, props->>'$.k' AS got FROM events")
 def fn_json_read(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "events").select("event_id", S.json_get(F.col("props"), "$.k").alias("k"))
+    return table(s, d, "events").select("event_id", S.json_read(F.col("props"), "k string")["k"].alias("k"), S.json_get(F.col("props"), "$.k").alias("got"))
 
 
 @query("SELECT doc_id, lower(regexp_replace(text, '[\\x00-\\x1f]', '', 'g')) AS norm FROM documents")
@@ -497,11 +574,11 @@ def doc_normalize(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("norm"))
 
 
-@query("""WITH r AS (SELECT item_id, regexp_extract_all(lower(text), '\\p{L}+|\\p{N}+|[\\p{P}\\p{S}]+') AS w FROM benchmark),
-u AS (SELECT item_id, unnest(w) AS term, unnest(range(len(w))) AS i FROM r)
-SELECT item_id, term, coalesce(sum(length(term)) OVER (PARTITION BY item_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS pos FROM u""")
+@query("""WITH r AS (SELECT doc_id, regexp_extract_all(lower(text), '\\p{L}+|\\p{N}+|[\\p{P}\\p{S}]+') AS w FROM documents),
+u AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS i FROM r)
+SELECT doc_id, term, coalesce(sum(length(term)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS pos FROM u""")
 def ngram_runs(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "benchmark").select("item_id", F.explode(runs(F.col("text"))).alias("t")).select("item_id", "t.term", "t.pos")
+    return run_rows(table(s, d, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id", "term", "pos")
 
 
 @query()
@@ -536,6 +613,16 @@ def load_tsv(s: SparkSession, d: str) -> DataFrame:
     return tsv.load_tsv(s, at, ["n_name", "n_regionkey"], "n_nationkey", {"n_regionkey": "int"}).withColumn("n_nationkey", F.col("n_nationkey").cast("int"))
 
 
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey > 1")
+def stream_tsv(s: SparkSession, d: str) -> DataFrame:
+    at, out = fresh_path(s, "tsv"), fresh_path(s, "lines")
+    tsv.write_tsv(table(s, d, "nation"), at)
+    lines = s.readStream.text(at).select(F.split("value", "\t").alias("f"))
+    rows = lines.select(F.col("f")[0].cast("int").alias("n_nationkey"), F.col("f")[1].alias("n_name"), F.col("f")[2].cast("int").alias("n_regionkey")).where("n_regionkey > 1")
+    rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", fresh_path(s, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(out)
+
+
 @query("SELECT n_nationkey || chr(9) || n_name || chr(9) || n_regionkey AS value FROM nation")
 def out_tsv(s: SparkSession, d: str) -> DataFrame:
     return tsv.tsv_lines(table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey"))

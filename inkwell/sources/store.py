@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def prepare(spark: SparkSession) -> None:
+    """Lets Python workers that start in another folder import this package."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = f"{root}:{env['PYTHONPATH']}" if env.get("PYTHONPATH") else root
+
+
+def prepare_active() -> None:
+    """``prepare`` for the session at hand, where a UDF is made from columns alone."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        prepare(spark)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset, as in tests, a folder of our own."""
+    """spark.checkpoint.dir of the session. In local mode, as in tests, a folder of our own where it is unset; on a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="inkwell-")
         spark.sparkContext.setCheckpointDir(at)
     return at
