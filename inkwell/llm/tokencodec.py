@@ -1,15 +1,21 @@
 """Token ids in compressed binary blocks: an adaptive context-mixing range coder.
 
 A block holds up to ``BLOCK`` ids of consecutive documents and is coded alone:
-the model starts anew and a CRC-32 of the ids guards it. Before each id three
-predictions are made from what the block has shown so far. Order 2 and order 1
-each remember, for their context, the id that came last and how often in a row
-it was right; order 0 is the distribution of all ids. They are mixed into one
-distribution P = w2*[id = guess2] + w1*[id = guess1] + w0*P0. The weights come
-from counts of hits in the state (confidence of both guesses, agreement).
-Counts and P0 are refreshed at the fixed positions of ``refreshes``, so the
-encoder can work on whole arrays. The mixture drives a byte-wise range coder
-with 56 bits. The blocks of a task are coded side by side.
+the model starts anew and a CRC-32 of the ids guards it. Four predictions are
+mixed for each id, from what the block has shown so far:
+
+* order 2: the id that came last after the same two ids, at once up to date,
+* order 1: the distribution of all ids that came after the same id,
+* order 0: the distribution of all ids,
+* the uniform distribution, for what is new.
+
+P = w2*[id = guess] + w1*P1 + w0*P0 + wu/V. The weights belong to a state (how
+often in a row the guess was right, how much order 1 has seen) and follow each
+prediction's share in what was coded in that state (expectation maximisation).
+Distributions and weights are brought up to date at the fixed positions of
+``refreshes``, so the encoder works on whole arrays. All arithmetic is in whole
+numbers. The mixture drives a byte-wise range coder with 56 bits. The blocks of
+a task are coded side by side, and decoded side by side.
 """
 
 from __future__ import annotations
@@ -31,19 +37,22 @@ BLOCK = 32768
 LANES = 128  # blocks coded side by side
 TOTAL_BITS = 28
 TOTAL = 1 << TOTAL_BITS
-_MIXED = TOTAL - TOTAL // 64  # the share that guesses can get at most
+_MIXED = TOTAL - TOTAL // 512  # what the uniform distribution leaves to the others at most
 _TOP, _LOW = 56, 48
 _STEPS = 1024  # ids of each lane that are laid out at once
-GAIN = 32  # weight of a seen id against the 1 of each unseen one
+_REFRESH = 1024  # ids between refreshes, in the end
+_SEEN = 6  # classes of how much order 1 has seen
+_STATES = 5 * _SEEN
+_UNIT = 1 << 10  # a coded id in the weights' counts
 SCHEMA = "first_doc_id long, block int, doc_ids array<long>, starts array<int>, lengths array<int>, n_ids int, payload binary, checksum long"
 
 
 def refreshes(n: int) -> list[int]:
     """Positions at which the model is brought up to date."""
-    out, at, step = [0], 256, 256
+    out, at, step = [0], 64, 64
     while at < n:
         out.append(at)
-        step = min(step * 2, 4096)
+        step = min(step * 2, _REFRESH)
         at += step
     return out
 
@@ -79,45 +88,93 @@ def _contexts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return one, two
 
 
-def _weights(hits: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """(order 2, order 1) share of each state."""
-    return (_MIXED * (4 * hits + 1)) // (4 * seen + 16)
+def _start() -> np.ndarray:
+    """(state, prediction) counts before the first id; a prediction that a state can't have counts nothing."""
+    out = np.tile(np.array([2, 2, 4, 1], np.int64) * _UNIT, (_STATES, 1))
+    out[:_SEEN, 0] = 0
+    out[::_SEEN, 1] = 0
+    return out
+
+
+def _weights(counts: np.ndarray) -> np.ndarray:
+    """Shares of TOTAL of order 2, 1 and 0; the rest is the uniform distribution's. counts: (..., 4)."""
+    return _MIXED * counts[..., :3] // counts.sum(axis=-1, keepdims=True)
+
+
+def _class(seen: np.ndarray) -> np.ndarray:
+    """0, 1-3, 4-15, 16-63, 64-255, more."""
+    return (seen > 0).astype(np.int64) + (seen > 3) + (seen > 15) + (seen > 63) + (seen > 255)
 
 
 def model(ids: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray]:
     """(frequency, cumulative frequency) out of TOTAL of each id of one block."""
     n = len(ids)
-    x = ids.astype(np.int32)
+    x = ids.astype(np.int64)
     one, two = _contexts(ids)
-    g1, c1 = _guesses(one, x)
-    g2, c2 = _guesses(two, x)
-    g1 = np.where(g1 == g2, -1, g1)  # an agreed guess is order 2's alone
-    state = (c2.astype(np.int64) * 5 + c1) * 2 + (g1 < 0)
-    hit2, hit1 = g2 == x, g1 == x
+    guess, sure = _guesses(two, ids.astype(np.int32))
+    # different ids and different pairs in their order: their numbers replace them, counts are over these
+    by_id = np.argsort(ids, kind="stable")
+    xs = ids[by_id]
+    new = np.ones(n, bool)
+    new[1:] = xs[1:] != xs[:-1]
+    name = np.empty(n, np.int64)
+    name[by_id] = np.cumsum(new) - 1
+    n_ids = int(new.sum())
+    order = by_id[np.argsort(one[by_id], kind="stable")]
+    cs, xs = one[order], ids[order]
+    edge = np.ones(n, bool)
+    edge[1:] = cs[1:] != cs[:-1]
+    new = edge.copy()
+    new[1:] |= xs[1:] != xs[:-1]
+    number = np.cumsum(new) - 1
+    pair, first, last = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64)
+    pair[order] = number
+    begin = np.flatnonzero(edge)
+    runs = np.diff(np.append(begin, n))
+    first[order] = np.repeat(number[begin], runs)
+    n_pairs = int(number[-1]) + 1 if n else 0
+    last[order] = np.repeat(np.append(number[begin[1:]], n_pairs), runs)
     freq, cum = np.empty(n, np.int64), np.empty(n, np.int64)
-    count = np.ones(vocab + 1, np.int64)
-    count[0] = 0  # shifted by one, for cumulative sums
-    hits, seen = np.zeros((2, 50), np.int64), np.zeros(50, np.int64)
+    counts0, counts1 = np.zeros(n_ids), np.zeros(n_pairs)
+    upto0, upto1 = np.zeros(n_ids + 1), np.zeros(n_pairs + 1)
+    held = _start()
+    # whole numbers below 2**53 in double precision: quotients are at most 2**28 and divisors far from
+    # filling the other bits, so that rounding down the double gives the exact whole quotient
+    xf = x.astype(float)
     cuts = [*refreshes(n), n]
     for lo, hi in zip(cuts, cuts[1:]):
-        upto = np.cumsum(count)
-        total = int(upto[-1])
-        s = state[lo:hi]
-        w = _weights(hits, seen)
-        xx, a2, a1 = x[lo:hi], g2[lo:hi], g1[lo:hi]
-        w2 = np.where(a2 >= 0, w[0][s], 0)
-        w1 = np.where(a1 >= 0, w[1][s], 0)
-        w0 = TOTAL - w2 - w1
-        low = w0 * upto[xx] // total
-        freq[lo:hi] = w0 * upto[xx + 1] // total - low + np.where(hit2[lo:hi], w2, 0) + np.where(hit1[lo:hi], w1, 0)
-        cum[lo:hi] = low + np.where(a2 < xx, w2, 0) + np.where(a1 < xx, w1, 0)
-        count[1:] += GAIN * np.bincount(xx, minlength=vocab)
-        hits[0] += np.bincount(s[hit2[lo:hi]], minlength=50)
-        hits[1] += np.bincount(s[hit1[lo:hi]], minlength=50)
-        seen += np.bincount(s, minlength=50)
+        np.cumsum(counts0, out=upto0[1:])
+        np.cumsum(counts1, out=upto1[1:])
+        w = _weights(held).astype(float)
+        xx, g, k, p = xf[lo:hi], guess[lo:hi], name[lo:hi], pair[lo:hi]
+        base = upto1[first[lo:hi]]
+        seen = upto1[last[lo:hi]] - base
+        state = sure[lo:hi] * _SEEN + _class(seen)
+        w2, w1, w0 = w[:, 0][state], w[:, 1][state], w[:, 2][state] if lo else 0.0
+        wu = TOTAL - w2 - w1 - w0
+        parts = np.empty((4, hi - lo))
+        np.multiply(w2, g == x[lo:hi], out=parts[0])
+        some, n0 = np.maximum(seen, 1), float(max(lo, 1))
+        low1, low0, lowu = np.floor(w1 * (upto1[p] - base) / some), np.floor(w0 * upto0[k] / n0), np.floor(wu * xx / vocab)
+        parts[1] = np.floor(w1 * (upto1[p + 1] - base) / some) - low1
+        parts[2] = np.floor(w0 * upto0[k + 1] / n0) - low0
+        parts[3] = np.floor(wu * (xx + 1) / vocab) - lowu
+        f = parts.sum(axis=0)
+        freq[lo:hi] = f
+        cum[lo:hi] = low1 + low0 + lowu + w2 * (g < x[lo:hi])
+        _learn(held, state, parts, f)
+        counts0 += np.bincount(k, minlength=n_ids)
+        counts1 += np.bincount(p, minlength=n_pairs)
     return freq, cum
 
 
+def _learn(held: np.ndarray, state: np.ndarray, parts: np.ndarray, freq: np.ndarray) -> None:
+    """Adds each prediction's share in the coded ids to the counts of their states."""
+    share = np.floor(parts * float(_UNIT) / freq)
+    for k in range(4):
+        held[:, k] += np.bincount(state, share[k], _STATES).astype(np.int64)
+
+
 def encode(blocks: list[np.ndarray], vocab: int) -> list[bytes]:
     """Payloads of blocks of ids (uint16)."""
     if not blocks:
@@ -176,66 +233,128 @@ def encode(blocks: list[np.ndarray], vocab: int) -> list[bytes]:
 
 
 def decode(payload: bytes, n: int, vocab: int) -> np.ndarray:
-    """Ids of one block; the same model, one id at a time."""
-    ids = np.zeros(n, np.uint16)
-    data = payload + bytes(16)
-    code, pos = int.from_bytes(data[:7], "big"), 7
-    r = (1 << _TOP) - 1
-    count = np.ones(vocab + 1, np.int64)
-    count[0] = 0
-    hits, seen = np.zeros((2, 50), np.int64), np.zeros(50, np.int64)
-    tables: list[dict[int, tuple[int, int]]] = [{}, {}]  # context: (last id, hits in a row)
-    cuts = set(refreshes(n))
-    log: list[tuple[int, bool, bool]] = []
-    done = 0
-    for t in range(n):
-        if t in cuts:
-            count[1:] += GAIN * np.bincount(ids[done:t], minlength=vocab)
-            for s, h2, h1 in log:
-                seen[s] += 1
-                hits[0, s] += h2
-                hits[1, s] += h1
-            log, done = [], t
-            upto = np.cumsum(count)
-            total, w = int(upto[-1]), _weights(hits, seen)
-        p1 = int(ids[t - 1]) if t else 0
-        p2 = (((int(ids[t - 2]) * 0x9E3779B1 + p1 * 0x85EBCA6B) & 0xFFFFFFFF) >> 16) if t > 1 else 0
-        (a1, n1), (a2, n2) = (tb.get(c, (-1, 0)) for tb, c in zip(tables, (p1, p2)))
-        c1, c2 = (1 + min(k, 3) if a >= 0 else 0 for a, k in ((a1, n1), (a2, n2)))
-        g1 = -1 if a1 == a2 else a1
-        s = (c2 * 5 + c1) * 2 + (g1 < 0)
-        w2 = int(w[0][s]) if a2 >= 0 else 0
-        w1 = int(w[1][s]) if g1 >= 0 else 0
-        w0 = TOTAL - w2 - w1
-        u = r >> TOTAL_BITS
-        goal = min(code // u, TOTAL - 1)
-        begin = lambda x: w0 * int(upto[x]) // total + (w2 if a2 < x else 0) + (w1 if g1 < x else 0)
-        lo, hi = 0, vocab
-        while hi - lo > 1:
-            mid = (lo + hi) // 2
-            if begin(mid) <= goal:
-                lo = mid
-            else:
-                hi = mid
-        x, at = lo, begin(lo)
-        freq = w0 * int(upto[x + 1]) // total - w0 * int(upto[x]) // total + (w2 if a2 == x else 0) + (w1 if g1 == x else 0)
-        code -= u * at
-        r = u * freq
-        while r < 1 << _LOW:
-            r <<= 8
-            code = (code << 8) | data[pos] if pos < len(data) else code << 8
-            pos += 1
-        ids[t] = x
-        log.append((s, a2 == x, g1 == x))
-        for tb, c, a, k in ((tables[0], p1, a1, n1), (tables[1], p2, a2, n2)):
-            tb[c] = (x, k + 1 if a == x else 0)
-    return ids
+    """Ids of one block."""
+    return decode_all([payload], [n], vocab)[0]
+
+
+def decode_all(payloads: list[bytes], sizes: list[int], vocab: int) -> list[np.ndarray]:
+    """Ids of blocks, all blocks one id after another; the encoder's model, kept by block."""
+    lanes, steps = len(payloads), max(sizes, default=0)
+    if not steps:
+        return [np.zeros(0, np.uint16) for _ in payloads]
+    size = np.array(sizes)
+    wide = max(map(len, payloads)) + 32
+    data = np.zeros((lanes, wide), np.uint8)
+    for k, raw in enumerate(payloads):
+        data[k, : len(raw)] = np.frombuffer(raw, np.uint8)
+    flat = data.ravel()
+    row = np.arange(lanes)
+    code = np.zeros(lanes, np.int64)
+    for k in range(7):
+        code = code << 8 | data[:, k]
+    pos = row * wide + 7
+    r = np.full(lanes, (1 << _TOP) - 1, np.int64)
+    ids = np.zeros((lanes, steps), np.int64)
+    upto0 = np.zeros((lanes, vocab + 1), np.int32)
+    begins = np.zeros((lanes, vocab + 2), np.int32)  # first pair of each context, from the lane's first
+    last2, run2 = np.full((lanes, 65536), -1, np.int32), np.zeros((lanes, 65536), np.int8)
+    keys = [np.empty(0, np.int64) for _ in payloads]  # sorted pairs
+    many = [np.empty(0, np.int64) for _ in payloads]
+    held = np.tile(_start(), (lanes, 1, 1))
+    zero = np.zeros(lanes, np.int64)
+    one, two = zero, zero
+    cuts = [*refreshes(steps), steps]
+    for lo, hi in zip(cuts, cuts[1:]):
+        live = np.flatnonzero(size > lo)
+        if lo:
+            for k in live.tolist():
+                new = ids[k, before:lo]
+                upto0[k, 1:] += np.cumsum(np.bincount(new, minlength=vocab)).astype(np.int32)
+                prev = np.concatenate((ids[k, before - 1 : before] if before else [0], new[:-1]))
+                pairs, c = np.unique(prev * vocab + new, return_counts=True)
+                at = np.searchsorted(keys[k], pairs)
+                there = keys[k][np.minimum(at, max(len(keys[k]) - 1, 0))] == pairs if len(keys[k]) else np.zeros(len(pairs), bool)
+                many[k][at[there]] += c[there]
+                keys[k], many[k] = np.insert(keys[k], at[~there], pairs[~there]), np.insert(many[k], at[~there], c[~there])
+                begins[k, 1 : vocab + 1] = np.cumsum(np.bincount(keys[k] // vocab, minlength=vocab))
+        before = lo
+        offset = np.cumsum([0, *map(len, keys)])
+        pair_x = np.concatenate((*[x % vocab for x in keys], [0]))
+        upto1 = np.concatenate(([0], np.cumsum(np.concatenate(many))))
+        w = _weights(held)
+        log = np.zeros((hi - lo, 5, lanes), np.int64)
+        flat0 = upto0.ravel()
+        base0 = row * (vocab + 1)
+        for t in range(lo, hi):
+            guess = last2[row, two]
+            sure = np.where(guess >= 0, 1 + np.minimum(run2[row, two], 3), 0)
+            first, end = offset[:-1] + begins[row, one], offset[:-1] + begins[row, one + 1]
+            base = upto1[first]
+            seen = upto1[end] - base
+            state = sure * _SEEN + _class(seen)
+            mine = w[row, state]
+            w2, w1, w0 = mine[:, 0], mine[:, 1], mine[:, 2] if lo else zero
+            wu = TOTAL - w2 - w1 - w0
+            some, n0 = np.maximum(seen, 1), max(lo, 1)
+            unit = r >> TOTAL_BITS
+            goal = np.minimum(code // unit, TOTAL - 1)
+
+            def below(x: np.ndarray) -> np.ndarray:
+                """Of the interval that begins at id x, all but order 1's part."""
+                return w0 * flat0[base0 + x] // n0 + wu * x // vocab + w2 * (guess < x)
+
+            # the last of the context's ids that begins at or before the goal
+            a, z = first - 1, end.copy()
+            for _ in range(int((end - first).max()).bit_length()):
+                mid = (a + z) >> 1
+                go = mid > a
+                m = np.clip(mid, 0, len(upto1) - 1)
+                ok = go & (below(pair_x[m]) + w1 * (upto1[m] - base) // some <= goal)
+                a, z = np.where(ok, mid, a), np.where(go & ~ok, mid, z)
+            has = a >= first
+            m = np.clip(a, 0, len(upto1) - 1)
+            # that id itself, or one between it and the next of the context's ids
+            xa = np.where(has, pair_x[m], -1)
+            past = w1 * (np.where(has, upto1[np.minimum(m + 1, len(upto1) - 1)], base) - base) // some
+            begin = np.where(has, below(np.maximum(xa, 0)) + w1 * (upto1[m] - base) // some, -1)
+            lo_x, hi_x = xa + 1, np.where(a + 1 < end, pair_x[np.minimum(a + 1, len(pair_x) - 1)], vocab)
+            inside = has & ((lo_x >= hi_x) | (goal < below(np.minimum(lo_x, vocab)) + past))
+            p, q = lo_x, hi_x
+            for _ in range(int((q - p)[~inside].max(initial=0)).bit_length()):
+                mid = (p + q) >> 1
+                go = q - p > 1
+                ok = go & (below(mid) + past <= goal)
+                p, q = np.where(ok, mid, p), np.where(go & ~ok, mid, q)
+            x = np.where(inside, xa, np.minimum(p, vocab - 1))
+            low1 = np.where(inside, w1 * (upto1[m] - base) // some, past)
+            parts = log[t - lo, :4]
+            parts[0] = w2 * (guess == x)
+            parts[1] = np.where(inside, past - low1, 0)
+            parts[2] = w0 * flat0[base0 + x + 1] // n0 - w0 * flat0[base0 + x] // n0
+            parts[3] = wu * (x + 1) // vocab - wu * x // vocab
+            log[t - lo, 4] = state
+            at, f = below(x) + low1, parts.sum(axis=0)
+            code -= unit * at
+            r = unit * f
+            while (short := r < 1 << _LOW).any():
+                r = np.where(short, r << 8, r)
+                code = np.where(short, code << 8 | flat[np.minimum(pos, len(flat) - 1)], code)
+                pos += short
+            ids[:, t] = x
+            run2[row, two] = np.where(guess == x, np.minimum(run2[row, two] + 1, 4), 0)
+            last2[row, two] = x
+            two = ((one * 0x9E3779B1 + x * 0x85EBCA6B) & 0xFFFFFFFF) >> 16 if t else zero
+            one = x
+        for k in live.tolist():
+            n = min(hi, int(size[k])) - lo
+            _learn(held[k], log[:n, 4, k], np.ascontiguousarray(log[:n, :4, k].T), log[:n, :4, k].sum(axis=1))
+    return [ids[k, : size[k]].astype(np.uint16) for k in range(lanes)]
 
 
 class Tokenizer:
-    """Ids of a public byte-pair vocabulary, each different piece of text encoded once while it is remembered."""
+    """Ids of a public byte-pair vocabulary, each different piece of text encoded once while it is remembered, by a 64-bit hash."""
 
-    MOST = 400_000  # pieces kept in memory
+    MOST = 1 << 20  # pieces kept in memory
 
     def __init__(self, path: str = VOCABULARY):
         import base64
@@ -246,7 +365,44 @@ class Tokenizer:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
         self.size = len(ranks)
         self.encode = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.known: dict[int, bytes] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.names = np.zeros(2 * self.MOST, np.uint64)  # open addressing; 0 is free
+        self.at, self.n = np.zeros(2 * self.MOST, np.int64), np.zeros(2 * self.MOST, np.int32)
+        self.flat, self.used, self.held = np.empty(1 << 20, np.uint16), 0, 0
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Slot of each name, or -1."""
+        mask = np.uint64(len(self.names) - 1)
+        out = np.full(len(h), -1, np.int64)
+        todo, slot = np.arange(len(h)), (h & mask).astype(np.int64)
+        while len(todo):
+            got = self.names[slot]
+            hit = got == h[todo]
+            out[todo[hit]] = slot[hit]
+            more = ~hit & (got != 0)
+            todo, slot = todo[more], (slot[more] + 1) & int(mask)
+        return out
+
+    def _keep(self, h: np.ndarray, ids: list[np.ndarray]) -> None:
+        """Remembers different new names."""
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        new = np.concatenate(ids)
+        while self.used + len(new) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
+        self.flat[self.used : self.used + len(new)] = new
+        at = self.used + np.cumsum(lens) - lens
+        self.used += len(new)
+        self.held += len(h)
+        mask = len(self.names) - 1
+        todo, slot = np.arange(len(h)), (h & np.uint64(mask)).astype(np.int64)
+        while len(todo):
+            free = self.names[slot] == 0
+            self.names[slot[free]] = h[todo[free]]  # of several, the last gets it
+            won = free & (self.names[slot] == h[todo])
+            self.at[slot[won]], self.n[slot[won]] = at[todo[won]], lens[todo[won]]
+            todo, slot = todo[~won], (slot[~won] + 1) & mask
 
     def cuts(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Where a piece of text begins: at rows, before a single space or line end between two
@@ -272,23 +428,27 @@ class Tokenizer:
         ends = np.append(starts[1:], len(buf))
         if not len(starts):
             return np.empty(0, np.uint16), np.zeros(len(off), np.int64)
-        h, first, inv = np.unique(tv.span_hash(tv.prefix_hash(buf), starts, ends), return_index=True, return_inverse=True)
-        raw, known, got = buf.tobytes(), self.known, []
-        if len(known) > self.MOST:
-            known.clear()
-        for k, s, e in zip(h.tolist(), starts[first].tolist(), ends[first].tolist()):
-            ids = known.get(k)
-            if ids is None:
-                ids = np.array(self.encode(raw[s:e].decode("utf-8", "replace")), np.uint16).tobytes()
-                if e - s < 40:
-                    known[k] = ids
-            got.append(ids)
-        lens = np.array([len(x) for x in got]) // 2
-        at = np.cumsum(lens) - lens
-        flat = np.frombuffer(b"".join(got), np.uint16)
-        n = lens[inv]
+        h = tv.span_hash(tv.prefix_hash(buf), starts, ends)
+        h[h == 0] = 1
+        if self.held > self.MOST // 2:
+            self._clear()
+        raw, slot = buf.tobytes(), self._find(h)
+        lost = np.flatnonzero(slot < 0)
+        if len(lost):
+            some, first = np.unique(h[lost], return_index=True)
+            if len(some) > self.MOST // 2:  # so many different ones in one slice: without the memory
+                return self._plain(raw, starts, ends, off)
+            part = lost[first]
+            self._keep(some, [np.array(self.encode(raw[s:e].decode("utf-8", "replace")), np.uint16) for s, e in zip(starts[part].tolist(), ends[part].tolist())])
+            slot[lost] = self._find(h[lost])
+        n = self.n[slot].astype(np.int64)
         upto = np.concatenate(([0], np.cumsum(n)))
-        return flat[tv.ragged(at[inv], n)], upto[np.searchsorted(starts, off)]
+        return self.flat[tv.ragged(self.at[slot], n)], upto[np.searchsorted(starts, off)]
+
+    def _plain(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        got = [np.array(self.encode(raw[s:e].decode("utf-8", "replace")), np.uint16) for s, e in zip(starts.tolist(), ends.tolist())]
+        upto = np.concatenate(([0], np.cumsum([len(x) for x in got])))
+        return np.concatenate(got), upto[np.searchsorted(starts, off)]
 
 
 _tokenizers: dict[str, Tokenizer] = {}
@@ -367,17 +527,25 @@ def write_blocks(docs: DataFrame, vocabulary: str = VOCABULARY, block: int = BLO
 
 
 def read_blocks(blocks: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, start, ids) of every piece of a document; a block whose checksum fails raises an error."""
+    """(doc_id, start, ids) of every piece of a document.
+
+    A block whose checksum fails, as after damage to its payload, or that lacks
+    its payload or number of ids, raises an error that names it. No blocks: no rows.
+    """
     prepare(blocks.sparkSession)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = tokenizer(vocabulary).size
         for b in it:
-            for row in b.to_pylist():
-                ids = decode(row["payload"], row["n_ids"], size)
-                if zlib.crc32(ids.tobytes()) != row["checksum"]:
-                    raise ValueError(f"block {row['first_doc_id']}/{row['block']}: the checksum is wrong")
-                cut = np.cumsum(row["lengths"])[:-1]
-                yield pa.record_batch([pa.array(row["doc_ids"], pa.int64()), pa.array(row["starts"], pa.int32()), pa.array([x.tolist() for x in np.split(ids, cut)], pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
+            for lo in range(0, b.num_rows, LANES):
+                rows = b.slice(lo, LANES).to_pylist()
+                for row in rows:
+                    if row["payload"] is None or row["n_ids"] is None or sum(row["lengths"]) != row["n_ids"]:
+                        raise ValueError(f"block {row['first_doc_id']}/{row['block']}: a part is missing")
+                for row, ids in zip(rows, decode_all([x["payload"] for x in rows], [x["n_ids"] for x in rows], size)):
+                    if zlib.crc32(ids.tobytes()) != row["checksum"]:
+                        raise ValueError(f"block {row['first_doc_id']}/{row['block']}: the checksum is wrong")
+                    cut = np.cumsum(row["lengths"])[:-1]
+                    yield pa.record_batch([pa.array(row["doc_ids"], pa.int64()), pa.array(row["starts"], pa.int32()), pa.array([x.tolist() for x in np.split(ids, cut)], pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
 
     return blocks.mapInArrow(run, "doc_id long, start int, ids array<int>")
