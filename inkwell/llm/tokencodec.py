@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,7 @@ _MIXED = TOTAL - TOTAL // 512  # what the uniform distribution leaves to the oth
 _TOP, _LOW = 56, 48
 _STEPS = 1024  # ids of each lane that are laid out at once
 _REFRESH = 1024  # ids between refreshes, in the end
+_TOGETHER = 4  # blocks of one length that are modelled at once
 _SEEN = 6  # classes of how much order 1 has seen
 _STATES = 5 * _SEEN
 _UNIT = 1 << 10  # a coded id in the weights' counts
@@ -106,65 +108,88 @@ def _class(seen: np.ndarray) -> np.ndarray:
     return (seen > 0).astype(np.int64) + (seen > 3) + (seen > 15) + (seen > 63) + (seen > 255)
 
 
-def model(ids: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray]:
-    """(frequency, cumulative frequency) out of TOTAL of each id of one block."""
+_CLASSES = _class(np.arange(1 << 16)).astype(np.int16)
+
+
+def _numbers(ids: np.ndarray) -> tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray, int]:
+    """(number of each id among the different ids in order, how many; number of each pair with the id before it among the different pairs in order, the first and the end of its context's pairs, how many)."""
     n = len(ids)
-    x = ids.astype(np.int64)
-    one, two = _contexts(ids)
-    guess, sure = _guesses(two, ids.astype(np.int32))
-    # different ids and different pairs in their order: their numbers replace them, counts are over these
-    by_id = np.argsort(ids, kind="stable")
+    one = _contexts(ids)[0]
+    by_id = np.argsort(ids, kind="stable")  # 16 bits: a radix sort, here and below
     xs = ids[by_id]
     new = np.ones(n, bool)
-    new[1:] = xs[1:] != xs[:-1]
-    name = np.empty(n, np.int64)
-    name[by_id] = np.cumsum(new) - 1
+    np.not_equal(xs[1:], xs[:-1], out=new[1:])
+    name = np.empty(n, np.int32)
+    name[by_id] = np.cumsum(new, dtype=np.int32) - 1
     n_ids = int(new.sum())
     order = by_id[np.argsort(one[by_id], kind="stable")]
     cs, xs = one[order], ids[order]
     edge = np.ones(n, bool)
-    edge[1:] = cs[1:] != cs[:-1]
+    np.not_equal(cs[1:], cs[:-1], out=edge[1:])
     new = edge.copy()
     new[1:] |= xs[1:] != xs[:-1]
-    number = np.cumsum(new) - 1
-    pair, first, last = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64)
-    pair[order] = number
+    number = np.cumsum(new, dtype=np.int32) - 1
+    n_pairs = int(number[-1]) + 1
     begin = np.flatnonzero(edge)
     runs = np.diff(np.append(begin, n))
+    pair, first, last = np.empty(n, np.int32), np.empty(n, np.int32), np.empty(n, np.int32)
+    pair[order] = number
     first[order] = np.repeat(number[begin], runs)
-    n_pairs = int(number[-1]) + 1 if n else 0
     last[order] = np.repeat(np.append(number[begin[1:]], n_pairs), runs)
-    freq, cum = np.empty(n, np.int64), np.empty(n, np.int64)
+    return name, n_ids, pair, first, last, n_pairs
+
+
+def model(ids: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray]:
+    """(frequency, cumulative frequency) out of TOTAL of each id of one block."""
+    freq, cum = models([ids], vocab)
+    return freq[0], cum[0]
+
+
+def models(blocks: list[np.ndarray], vocab: int) -> tuple[np.ndarray, np.ndarray]:
+    """(frequencies, cumulative frequencies) out of TOTAL of blocks of one length: a row each; their counts lie one after another."""
+    n, many = len(blocks[0]), len(blocks)
+    x = np.stack(blocks).astype(float)
+    guess, sure, name, pair, first, last = (np.empty((many, n), np.int32) for _ in range(6))
+    n_ids, n_pairs, first_id = 0, 0, np.zeros((many, 1), np.int64)
+    for k, ids in enumerate(blocks if n else []):
+        guess[k], sure[k] = _guesses(_contexts(ids)[1], ids.astype(np.int32))
+        a, some_ids, b, c, d, some_pairs = _numbers(ids)
+        first_id[k] = n_ids
+        name[k], pair[k], first[k], last[k] = a + n_ids, b + n_pairs, c + n_pairs, d + n_pairs
+        n_ids, n_pairs = n_ids + some_ids, n_pairs + some_pairs
+    # different ids and pairs have numbers in their order, which stand for them: counts are over these
+    freq, cum = np.empty((many, n), np.int64), np.empty((many, n), np.int64)
     counts0, counts1 = np.zeros(n_ids), np.zeros(n_pairs)
     upto0, upto1 = np.zeros(n_ids + 1), np.zeros(n_pairs + 1)
-    held = _start()
+    held = np.tile(_start(), (many, 1))
+    own = np.arange(many)[:, None] * _STATES
     # whole numbers below 2**53 in double precision: quotients are at most 2**28 and divisors far from
     # filling the other bits, so that rounding down the double gives the exact whole quotient
-    xf = x.astype(float)
-    cuts = [*refreshes(n), n]
+    cuts = [*refreshes(n), n] if n else []
     for lo, hi in zip(cuts, cuts[1:]):
         np.cumsum(counts0, out=upto0[1:])
         np.cumsum(counts1, out=upto1[1:])
         w = _weights(held).astype(float)
-        xx, g, k, p = xf[lo:hi], guess[lo:hi], name[lo:hi], pair[lo:hi]
-        base = upto1[first[lo:hi]]
-        seen = upto1[last[lo:hi]] - base
-        state = sure[lo:hi] * _SEEN + _class(seen)
-        w2, w1, w0 = w[:, 0][state], w[:, 1][state], w[:, 2][state] if lo else 0.0
+        xx, g, k, p = x[:, lo:hi], guess[:, lo:hi], name[:, lo:hi], pair[:, lo:hi]
+        base = upto1[first[:, lo:hi]]
+        seen = upto1[last[:, lo:hi]] - base
+        state = sure[:, lo:hi] * _SEEN + _CLASSES[seen.astype(np.int32)] + own
+        w2, w1, w0 = w[:, 0][state], w[:, 1][state], w[:, 2][state] if lo else np.zeros(state.shape)
         wu = TOTAL - w2 - w1 - w0
-        parts = np.empty((4, hi - lo))
-        np.multiply(w2, g == x[lo:hi], out=parts[0])
+        parts = np.empty((4, *state.shape))
+        np.multiply(w2, g == xx, out=parts[0])
         some, n0 = np.maximum(seen, 1), float(max(lo, 1))
-        low1, low0, lowu = np.floor(w1 * (upto1[p] - base) / some), np.floor(w0 * upto0[k] / n0), np.floor(wu * xx / vocab)
+        start = upto0[first_id]
+        low1, low0, lowu = np.floor(w1 * (upto1[p] - base) / some), np.floor(w0 * (upto0[k] - start) / n0), np.floor(wu * xx / vocab)
         parts[1] = np.floor(w1 * (upto1[p + 1] - base) / some) - low1
-        parts[2] = np.floor(w0 * upto0[k + 1] / n0) - low0
+        parts[2] = np.floor(w0 * (upto0[k + 1] - start) / n0) - low0
         parts[3] = np.floor(wu * (xx + 1) / vocab) - lowu
         f = parts.sum(axis=0)
-        freq[lo:hi] = f
-        cum[lo:hi] = low1 + low0 + lowu + w2 * (g < x[lo:hi])
-        _learn(held, state, parts, f)
-        counts0 += np.bincount(k, minlength=n_ids)
-        counts1 += np.bincount(p, minlength=n_pairs)
+        freq[:, lo:hi] = f
+        cum[:, lo:hi] = low1 + low0 + lowu + w2 * (g < xx)
+        _learn(held, state.ravel(), parts.reshape(4, -1), f.ravel())
+        counts0 += np.bincount(k.ravel(), minlength=n_ids)
+        counts1 += np.bincount(p.ravel(), minlength=n_pairs)
     return freq, cum
 
 
@@ -172,7 +197,7 @@ def _learn(held: np.ndarray, state: np.ndarray, parts: np.ndarray, freq: np.ndar
     """Adds each prediction's share in the coded ids to the counts of their states."""
     share = np.floor(parts * float(_UNIT) / freq)
     for k in range(4):
-        held[:, k] += np.bincount(state, share[k], _STATES).astype(np.int64)
+        held[:, k] += np.bincount(state, share[k], len(held)).astype(np.int64)
 
 
 def encode(blocks: list[np.ndarray], vocab: int) -> list[bytes]:
@@ -182,9 +207,12 @@ def encode(blocks: list[np.ndarray], vocab: int) -> list[bytes]:
     lanes, steps = len(blocks), max(map(len, blocks))
     freq = np.full((lanes, steps), TOTAL, np.uint32)
     cum = np.zeros((lanes, steps), np.uint32)
-    for k, ids in enumerate(blocks):
-        freq[k, : len(ids)], cum[k, : len(ids)] = model(ids, vocab)
     size = np.array([len(b) for b in blocks])
+    for n in np.unique(size).tolist():
+        same = np.flatnonzero(size == n)
+        for lo in range(0, len(same), _TOGETHER):
+            k = same[lo : lo + _TOGETHER]
+            freq[k, :n], cum[k, :n] = models([blocks[i] for i in k], vocab)
     n_words = steps + 8  # an id takes 28 bits at most
     digits = np.zeros((lanes, n_words), np.int64)
     r = np.full(lanes, (1 << _TOP) - 1, np.int64)
@@ -214,8 +242,9 @@ def encode(blocks: list[np.ndarray], vocab: int) -> list[bytes]:
         by = (start & 31).view(np.uint64)
         base = int((start >> 5).min())
         wide = int((start >> 5).max()) + 3 - base
-        where = ((start >> 5) - base + np.arange(lanes) * wide)[live]
-        add, by = add[live], by[live]
+        where = (start >> 5) - base + np.arange(lanes) * wide
+        pick = np.ravel if size.min() >= hi else lambda x: x[live]
+        where, add, by = pick(where), pick(add), pick(by)
         left = np.uint64(24) + by
         rest = (add & ((np.uint64(1) << left) - np.uint64(1))) << np.uint64(8)
         second = rest >> by
@@ -354,7 +383,7 @@ def decode_all(payloads: list[bytes], sizes: list[int], vocab: int) -> list[np.n
 class Tokenizer:
     """Ids of a public byte-pair vocabulary, each different piece of text encoded once while it is remembered, by a 64-bit hash."""
 
-    MOST = 1 << 20  # pieces kept in memory
+    MOST = 1 << 21  # twice the pieces kept in memory
 
     def __init__(self, path: str = VOCABULARY):
         import base64
@@ -365,11 +394,12 @@ class Tokenizer:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
         self.size = len(ranks)
         self.encode = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        (self.line_end,) = self.encode("\n")
         self._clear()
 
     def _clear(self) -> None:
         self.names = np.zeros(2 * self.MOST, np.uint64)  # open addressing; 0 is free
-        self.at, self.n = np.zeros(2 * self.MOST, np.int64), np.zeros(2 * self.MOST, np.int32)
+        self.at, self.n = np.zeros(2 * self.MOST, np.int32), np.zeros(2 * self.MOST, np.int32)
         self.flat, self.used, self.held = np.empty(1 << 20, np.uint16), 0, 0
 
     def _find(self, h: np.ndarray) -> np.ndarray:
@@ -385,10 +415,33 @@ class Tokenizer:
             todo, slot = todo[more], (slot[more] + 1) & int(mask)
         return out
 
-    def _keep(self, h: np.ndarray, ids: list[np.ndarray]) -> None:
-        """Remembers different new names."""
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        new = np.concatenate(ids)
+    def _learn(self, h: np.ndarray, buf: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Encodes and remembers pieces with new names.
+
+        Pieces without white space, but for one space before them, go in one
+        call with line ends between them: the pattern never matches across a
+        line end beside a visible character, and gives it an id of its own.
+        """
+        odd = (buf <= 32) | (buf == 0xC2) | (buf >= 0xE0)  # bytes of white space, among others
+        upto = np.concatenate(([0], np.cumsum(odd)))
+        plain = (upto[ends] == upto[starts + 1]) & ((buf[starts] == 32) & (ends - starts > 1) | ~odd[starts])
+        at = np.flatnonzero(plain)
+        if len(at):
+            text = b"\n".join([raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())])
+            ids = np.array(self.encode(text.decode("utf-8", "replace")), np.uint16)
+            cut = np.flatnonzero(ids == self.line_end)
+            if len(cut) == len(at) - 1:
+                self._keep(h[at], np.diff(np.concatenate(([-1], cut, [len(ids)]))) - 1, np.delete(ids, cut))
+            else:
+                plain[:] = False
+        at = np.flatnonzero(~plain)
+        if len(at):
+            got = [self.encode(raw[s:e].decode("utf-8", "replace")) for s, e in zip(starts[at].tolist(), ends[at].tolist())]
+            lens = np.fromiter(map(len, got), np.int64, len(got))
+            self._keep(h[at], lens, np.fromiter(chain.from_iterable(got), np.uint16, int(lens.sum())))
+
+    def _keep(self, h: np.ndarray, lens: np.ndarray, new: np.ndarray) -> None:
+        """Remembers different new names and their ids, one after another."""
         while self.used + len(new) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
         self.flat[self.used : self.used + len(new)] = new
@@ -439,11 +492,11 @@ class Tokenizer:
             if len(some) > self.MOST // 2:  # so many different ones in one slice: without the memory
                 return self._plain(raw, starts, ends, off)
             part = lost[first]
-            self._keep(some, [np.array(self.encode(raw[s:e].decode("utf-8", "replace")), np.uint16) for s, e in zip(starts[part].tolist(), ends[part].tolist())])
+            self._learn(some, buf, raw, starts[part], ends[part])
             slot[lost] = self._find(h[lost])
         n = self.n[slot].astype(np.int64)
         upto = np.concatenate(([0], np.cumsum(n)))
-        return self.flat[tv.ragged(self.at[slot], n)], upto[np.searchsorted(starts, off)]
+        return self.flat[tv.ragged(self.at[slot].astype(np.int64), n)], upto[np.searchsorted(starts, off)]
 
     def _plain(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         got = [np.array(self.encode(raw[s:e].decode("utf-8", "replace")), np.uint16) for s, e in zip(starts.tolist(), ends.tolist())]
