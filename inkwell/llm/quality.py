@@ -203,7 +203,7 @@ def _free(columns: list[str]) -> str:
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, quality_score, accepted) of every row. A null or wordless text scores 0 and is rejected; a null id is reported as null; repeated rows give equal rows. Other columns aren't read."""
+    """(doc_id, quality_score, accepted) of every row. A null or blank text scores 0 and is rejected; a null id is reported as null; repeated rows give equal rows. Other columns aren't read."""
     d = with_stats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", "q_")
     score = F.when(F.col("q_n_words") > 0, model.column("q_")).otherwise(F.lit(0.0))
     return d.select("doc_id", score.alias("quality_score")).withColumn("accepted", F.col("quality_score") >= F.lit(model.threshold))

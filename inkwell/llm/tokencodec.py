@@ -20,13 +20,15 @@ a task are coded side by side, and decoded side by side.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import textvec as tv
@@ -507,6 +509,12 @@ class Tokenizer:
 _tokenizers: dict[str, Tokenizer] = {}
 
 
+def shipped(spark: SparkSession, path: str) -> str:
+    """Sends a file to all workers; they find it by the name that is returned."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 def tokenizer(path: str) -> Tokenizer:
     if path not in _tokenizers:
         _tokenizers[path] = Tokenizer(path)
@@ -525,9 +533,10 @@ def write_blocks(docs: DataFrame, vocabulary: str = VOCABULARY, block: int = BLO
     """
     spark = docs.sparkSession
     prepare(spark)
+    file = shipped(spark, vocabulary)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(vocabulary)
+        tok = tokenizer(SparkFiles.get(file))
         ready: list[tuple[list, np.ndarray]] = []
         open_: list[tuple] = []  # (doc, start, ids)
         used = 0
@@ -586,9 +595,10 @@ def read_blocks(blocks: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     its payload or number of ids, raises an error that names it. No blocks: no rows.
     """
     prepare(blocks.sparkSession)
+    file = shipped(blocks.sparkSession, vocabulary)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = tokenizer(vocabulary).size
+        size = tokenizer(SparkFiles.get(file)).size
         for b in it:
             for lo in range(0, b.num_rows, LANES):
                 rows = b.slice(lo, LANES).to_pylist()

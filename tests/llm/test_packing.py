@@ -12,16 +12,16 @@ from pyspark.sql import functions as F
 from inkwell.llm import packing, postings, textvec
 
 
-def brute(docs, window, one_in, piece=packing.PIECE):
+def brute(docs, window, one_in, piece=packing.PIECE, pattern=r"[a-z0-9]+"):
     """Packing straight from the definition: (seed, piece, window) -> documents."""
-    words = [(d, re.findall(r"[a-z0-9]+", t.lower())) for d, t in docs]
+    words = [(d, re.findall(pattern, t.lower())) for d, t in docs]
     n, mean = len(words), sum(len(w) for _, w in words) / len(words)
     df = Counter(t for _, w in words for t in set(w))
     least = {}
     for d, t in docs:
         if d % one_in == 0:
             least[d] = min(t, least.get(d, t))
-    seeds = {d: set(re.findall(r"[a-z0-9]+", t.lower())) for d, t in least.items()}
+    seeds = {d: set(re.findall(pattern, t.lower())) for d, t in least.items()}
 
     def impact(t, tf, size):
         return math.floor(1000 * (math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean)))))
@@ -30,7 +30,7 @@ def brute(docs, window, one_in, piece=packing.PIECE):
         tf = Counter(w)
         return sum(impact(t, tf[t], len(w)) for t in q if tf[t])
 
-    own = {s: score(seeds[s], re.findall(r"[a-z0-9]+", least[s].lower())) for s in seeds}
+    own = {s: score(seeds[s], re.findall(pattern, least[s].lower())) for s in seeds}
     lists = defaultdict(list)
     for d, w in words:
         if not w:
