@@ -4,6 +4,15 @@ Every stage takes (spark, docs, sf_dir) and works on all that the stage before
 kept; all but the last return the columns of ``documents``. Classifiers are
 trained on labelled rows of the original documents, so what a stage drops
 doesn't depend on the size of what comes in.
+
+Rows that are odd: a null or blank text is rejected by the quality stage, so
+later stages see none unless called alone, where they keep it (packing has
+nothing to place). A row with a null id goes through as long as its text is
+kept, is in no group of near duplicates, and isn't packed. Rows that repeat an
+id: the near-duplicate stage keeps one of them. Equal texts under different
+ids: the smallest id stays. A text of any length is read whole; one longer than
+a window fills several. Further columns, whatever their names, go through all
+stages but the last. An empty table gives no windows.
 """
 
 from __future__ import annotations
@@ -16,7 +25,7 @@ from inkwell.llm.storage import Written, prepare
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the rule ensemble rejects, and those without a word."""
+    """Drops documents that the rule ensemble rejects, and null and blank ones."""
     return quality.accepted(docs, quality.train(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")))
 
 
