@@ -30,7 +30,7 @@ from inkwell.llm.storage import Written, prepare
 K1, B = 1.2, 0.75
 DOC_BITS = 14
 SHARD_DOCS = 1 << DOC_BITS  # a document's number and a term share a 64-bit key
-SHARD_BYTES = 48_000_000
+SHARD_BYTES = 12_000_000
 DENSE = 0.06  # share of a shard's documents from which a term's postings are a dense row
 CHUNK = 128  # queries of one matrix product
 QUERY_BYTES = 16_000_000  # query text of one block; more queries make several
