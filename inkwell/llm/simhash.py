@@ -220,7 +220,11 @@ def links(fps: np.ndarray, key: np.ndarray, accept: int = ACCEPT) -> tuple[np.nd
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of documents that have an id and a word."""
+    """(doc_id, fp, node) of documents that have an id and a word.
+
+    One pass: a step of Python on top of another in a task would take a second
+    worker for each core, and workers stay with their memory when they idle.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -230,9 +234,9 @@ def signatures(docs: DataFrame) -> DataFrame:
             raw = np.ascontiguousarray(fps[keep])
             n = len(raw)
             col = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * 8 * PARTS).astype(np.int32)), pa.py_buffer(raw.tobytes())])
-            yield pa.record_batch([pa.array(ids[keep]), col], ["doc_id", "fp"])
+            yield pa.record_batch([pa.array(ids[keep]), col, pa.array(node_ids(raw))], ["doc_id", "fp", "node"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp binary, node long")
 
 
 def _matrix(column: pa.Array, parts: int) -> np.ndarray:
@@ -340,7 +344,7 @@ def duplicates(docs: DataFrame, accept: int = ACCEPT, cover: Cover | None = None
     ``docs`` aren't read.
     """
     prepare(docs.sparkSession)
-    sig = Written(signatures(docs).mapInArrow(_named, "doc_id long, fp binary, node long"), "signatures")
+    sig = Written(signatures(docs), "signatures")
     groups = Written(sig.df.groupBy("fp", "node").agg(F.min("doc_id").alias("low")), "nodes")
     found = edges(groups.df, accept, cover)
     # different fingerprints of one id
@@ -353,12 +357,6 @@ def duplicates(docs: DataFrame, accept: int = ACCEPT, cover: Cover | None = None
     return sig.df.select("doc_id", "node").join(kept, "node").where("doc_id <> duplicate_of").select("doc_id", "duplicate_of").distinct()
 
 
-def _named(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in it:
-        node = node_ids(_matrix(b.column(1), PARTS)) if b.num_rows else np.empty(0, np.int64)
-        yield pa.record_batch([b.column(0), b.column(1), pa.array(node)], ["doc_id", "fp", "node"])
-
-
 def dedup(docs: DataFrame, accept: int = ACCEPT, cover: Cover | None = None) -> DataFrame:
     """``docs`` with one document of each group; columns unchanged.
 

@@ -5,6 +5,7 @@ from pathlib import Path
 import corpus_pipeline
 from inkwell.llm import decontam, packing, quality, simhash, toxicity
 from inkwell.llm.common import load
+from inkwell.llm.storage import Written
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +44,33 @@ def test_nothing_else_imports_the_subpackage():
     for p in (root / "inkwell").rglob("*.py"):
         if "llm" not in p.parts:
             assert "inkwell.llm" not in p.read_text()
+
+
+def chained(plan: str) -> list[str]:
+    """Python steps of a physical plan that feed another one in the same task."""
+    above, got = [], []
+    for line in plan.splitlines():
+        name = line.lstrip(" :+-*")
+        depth = len(line) - len(name)
+        above = [x for x in above if x[0] < depth]
+        for _, upper in reversed(above):
+            if "Exchange" in upper:
+                break
+            if name.startswith("MapInArrow") and upper.startswith("MapInArrow"):
+                got.append(line)
+                break
+        above.append((depth, name))
+    return got
+
+
+def test_no_task_needs_two_python_workers(spark, monkeypatch):
+    plans, write = [], Written.__init__
+
+    def noted(self, df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        write(self, df, name)
+
+    monkeypatch.setattr(Written, "__init__", noted)
+    corpus_pipeline.run(spark, SF)
+    assert sum("MapInArrow" in p for p in plans) >= 6
+    assert [x for p in plans for x in chained(p)] == []
