@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.compat import DEFAULT, Compat
 from inkwell.functions import text as T
-from inkwell.sources.store import prepare_active
+from inkwell.sources.store import prepare, prepare_active
 
+SLICE_BYTES = 1 << 18  # text that is cut into tokens at once, at least a row
 TOKENS = "array<struct<term:string,pos:int>>"
 _RUNS = {T.ALPHA: "split_alpha", T.DIGIT: "split_digit", T.SYMBOL: "split_symbol"}
 
@@ -113,6 +118,37 @@ def ngrams(s: str, how: Tokenizer, query: bool) -> list[tuple[str, int, bool]]:
     return out
 
 
+def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Rows from and to, in pieces of a bounded length of text."""
+    n = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto, lo = np.cumsum(n), 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + size, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+def token_rows(df: DataFrame, key: str, column: str, tokenizer: Tokenizer) -> DataFrame:
+    """(key, term, pos) of every token, in batches of a bounded length of text; a row's tokens are never held for a whole batch of rows."""
+    prepare(df.sparkSession)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for lo, hi in slices(b.column(1)):
+                row, term, pos = [], [], []
+                for i, text in enumerate(b.column(1)[lo:hi].to_pylist(), lo):
+                    if text is not None:
+                        got = tokenizer.tokens(text)
+                        row.append(np.full(len(got), i))
+                        term.extend(t for t, _ in got)
+                        pos.extend(p for _, p in got)
+                if term:
+                    yield pa.record_batch([b.column(0).take(pa.array(np.concatenate(row))), pa.array(term, pa.string()), pa.array(pos, pa.int32())], [key, "term", "pos"])
+
+    rows = df.select(key, F.col(column).cast("string").alias("text_"))
+    return rows.mapInArrow(run, rows.select(key, F.lit("").alias("term"), F.lit(0).alias("pos")).schema)
+
+
 def run_rows(df: DataFrame, key: str, column: str) -> DataFrame:
     """(key, term, pos): letter, digit and symbol runs of text in a script without pairs, native; positions count characters without blanks. A row's key names its text."""
     words = F.regexp_extract_all(F.lower(column), F.lit(r"(\p{L}+|\p{N}+|[\p{P}\p{S}]+)"), F.lit(1))

@@ -15,7 +15,7 @@ from inkwell.operators.index import TextIndex, fresh_path, postings, sections
 from inkwell.operators.records import Records, merge
 from inkwell.operators.select import near_hits, sel, select, similar, term_extract
 from inkwell.operators.table import Catalog, Slot, Table
-from inkwell.operators.tokenize import Tokenizer, delimited, run_rows
+from inkwell.operators.tokenize import Tokenizer, delimited, run_rows, token_rows
 from inkwell.plans import qparse as Q
 from inkwell.plans.qcompile import search
 from inkwell.plans.qscan import scan
@@ -583,8 +583,7 @@ def ngram_runs(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ngram_tokens(s: SparkSession, d: str) -> DataFrame:
-    tok = Tokenizer("ngram", normalize=True).column(F.col("text"))
-    return table(s, d, "documents").select("doc_id", F.explode(tok).alias("t")).select("doc_id", "t.term", "t.pos")
+    return token_rows(table(s, d, "documents"), "doc_id", "text", Tokenizer("ngram", normalize=True))
 
 
 # --- dictionary, snippets, input and output, updates
