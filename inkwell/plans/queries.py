@@ -649,7 +649,7 @@ def stream_ingest(s: SparkSession, d: str) -> DataFrame:
 
     docs = table(s, d, "documents")
     at = fresh_path(s)
-    TextIndex.build(sections(docs.limit(0), "doc_id", ["text"])).save(at)
+    TextIndex.of_columns(docs.limit(0), "doc_id", ["text"]).save(at)
     stream = s.readStream.schema(docs.schema).option("recursiveFileLookup", "true").parquet(f"{d}/documents.parquet")
     follow(stream, at, "doc_id", ["text"], fresh_path(s, "progress")).awaitTermination()
     return TextIndex.open(s, at).lexicon().drop("n_chars")

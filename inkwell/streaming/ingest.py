@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from inkwell.operators.index import TextIndex, sections
+from inkwell.operators.index import VALUES, TextIndex
 from inkwell.sources import store
 
 
@@ -23,7 +23,9 @@ def follow(docs: DataFrame, path: str, key: str, columns: list[str], checkpoint:
         if store.exists(spark, f"{mark}/_SUCCESS"):
             return
         rows = batch
-        if order:
+        if batch.groupBy(key).count().where("count > 1").isEmpty():
+            pass  # no key comes twice, so no text has to travel
+        elif order:
             rows = batch.groupBy(key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != key]), order).alias("r_")).select(key, "r_.*")
         else:
             rows = batch.dropDuplicates([key])
@@ -36,9 +38,11 @@ def follow(docs: DataFrame, path: str, key: str, columns: list[str], checkpoint:
 
 
 def _all_sections(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    got = sections(rows, key, columns)
-    every = rows.select(F.col(key).alias("rid"), F.explode(F.sequence(F.lit(1), F.lit(len(columns)))).alias("sid"))
-    return every.join(got, ["rid", "sid"], "left").select("rid", "sid", F.coalesce("values", F.array().cast(dict(got.dtypes)["values"])).alias("values"))
+    parts = []
+    for i, c in enumerate(columns):
+        value = F.struct(F.col(c).cast("string").alias("str"), F.lit(0).alias("weight"))
+        parts.append(F.struct(F.lit(i + 1).alias("sid"), F.when(F.col(c).isNull(), F.array().cast(VALUES)).otherwise(F.array(value)).alias("values")))
+    return rows.select(F.col(key).alias("rid"), F.explode(F.array(*parts)).alias("s")).select("rid", "s.sid", "s.values")
 
 
 def read_tsv(spark: SparkSession, path: str, slots: list[str], key: str = "_key", files_per_batch: int = 1) -> DataFrame:
