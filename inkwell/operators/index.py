@@ -4,17 +4,26 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.compat import DEFAULT, Compat
-from inkwell.operators.tokenize import Tokenizer
+from inkwell.operators.tokenize import Tokenizer, slices
 from inkwell.sources import store
+from inkwell.sources.store import prepare
 
 VALUES = "array<struct<str:string,weight:int>>"
 VALUE_GAP = 1 << 32  # positions between the beginnings of a section's values; no value has as many tokens
+DEAD_ROWS = 1_000_000  # keys of replaced or deleted records up to which they are broadcast
+_SPREAD = 16  # files of a saved index that a term is in at most
+_WIDE_SPACE = "\u3000".encode()
 
 
 def sections(df: DataFrame, key: str, columns: list[str | Column], weights: list[int] | None = None) -> DataFrame:
@@ -34,18 +43,96 @@ def postings(rows: DataFrame, tokenizer: Tokenizer, compat: Compat = DEFAULT) ->
     wsum adds up the weight of the value that each occurrence is in. Later
     values of a section start VALUE_GAP positions on, so phrases don't cross.
     """
-    value = rows.select("rid", "sid", F.posexplode("values").alias("vno", "v"))
-    token = value.select("rid", "sid", "vno", F.coalesce("v.weight", F.lit(0)).alias("weight"), F.explode(tokenizer.column(F.col("v.str"))).alias("t"))
-    at = F.col("t.pos").cast("long")
-    pos = at if compat.overlap_values else at + F.col("vno").cast("long") * F.lit(VALUE_GAP)
-    token = token.select(F.col("t.term").alias("term"), "rid", "sid", pos.alias("pos"), "weight")
-    out = token.groupBy("term", "rid", "sid").agg(F.count("*").cast("int").alias("tf"), F.sum("weight").cast("int").alias("wsum"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    prepare(rows.sparkSession)
+    again = rows.groupBy("rid", "sid").count().where("count > 1").select(F.col("rid").alias("r_"), F.col("sid").alias("s_"))
+    if again.isEmpty():
+        out = _folded(rows, tokenizer, compat)
+    else:  # rows that share a key are merged, the others need no shuffle
+        same = F.col("rid").eqNullSafe(F.col("r_")) & F.col("sid").eqNullSafe(F.col("s_"))
+        several = _folded(rows.join(again, same, "left_semi"), tokenizer, compat).groupBy("term", "rid", "sid")
+        several = several.agg(F.sum("tf").cast("int").alias("tf"), F.sum("wsum").cast("int").alias("wsum"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+        out = _folded(rows.join(again, same, "left_anti"), tokenizer, compat).unionByName(several)
     if compat.tf_cap:
         n = F.lit(compat.tf_cap)
         out = out.withColumn("tf", F.least("tf", n)).withColumn("positions", F.slice("positions", 1, n))
     return out
 
 
+class _Numbers(dict):
+    """Numbers things in the order in which they come."""
+
+    def __missing__(self, key: bytes | str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+def _folded(rows: DataFrame, tokenizer: Tokenizer, compat: Compat) -> DataFrame:
+    """Postings of each row by itself. Tokens are grouped where they are cut, so no token travels alone."""
+    plain = tokenizer.kind == "delimited" and not tokenizer.normalize
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            lists = b.column(2)
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(size)), size)  # of each value
+            vno = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            values = lists.flatten()
+            text, weight = pc.struct_field(values, "str"), pc.fill_null(pc.struct_field(values, "weight"), 0).to_numpy(zero_copy_only=False)
+            at = 0
+            # a row's values stay together
+            for lo, hi in slices(text):
+                hi = int(np.searchsorted(row, row[hi - 1], side="right"))
+                if hi > at:
+                    yield from cut(b, text[at:hi], row[at:hi], vno[at:hi], weight[at:hi])
+                    at = hi
+
+    def cut(b: pa.RecordBatch, text: pa.Array, row: np.ndarray, vno: np.ndarray, weight: np.ndarray) -> Iterator[pa.RecordBatch]:
+        number = _Numbers()
+        if plain:  # bytes.split cuts at the ASCII characters of T.SPACE
+            words = [x.replace(_WIDE_SPACE, b" ").split() if x else [] for x in text.view(pa.binary()).to_pylist()]
+            n = np.fromiter(map(len, words), np.int64, len(words))
+            pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        else:
+            got = [tokenizer.tokens(x) if x else [] for x in text.to_pylist()]
+            n = np.fromiter(map(len, got), np.int64, len(got))
+            pos = np.fromiter((p for g in got for _, p in g), np.int64, n.sum())
+            words = [[t for t, _ in g] for g in got]
+        code = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64, n.sum())
+        if not len(code):
+            return
+        if not compat.overlap_values:
+            pos = pos + np.repeat(vno, n) * VALUE_GAP
+        key = np.repeat(row, n) * len(number) + code
+        order = np.lexsort((pos, key)) if compat.overlap_values else np.argsort(key, kind="stable")
+        key, pos = key[order], pos[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        row, code = np.divmod(key[first], len(number))
+        term = pa.array(list(number), pa.binary()).view(pa.string()) if plain else pa.array(list(number), pa.string())
+        wsum = np.add.reduceat(np.repeat(weight, n)[order], first)
+        ends = np.append(first, len(key))
+        yield pa.record_batch(
+            [term.take(pa.array(code)), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(np.diff(ends).astype(np.int32)), pa.array(wsum.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(pos))],
+            ["term", "rid", "sid", "tf", "wsum", "positions"],
+        )
+
+    rows = rows.select("rid", "sid", F.col("values").cast(VALUES).alias("values"))
+    kinds = rows.select(F.lit("").alias("term"), "rid", "sid", F.lit(0).alias("tf"), F.lit(0).alias("wsum"), F.array().cast("array<long>").alias("positions")).schema
+    return rows.mapInArrow(run, kinds)
+
+
+def _without(posts: DataFrame, dead: DataFrame, on: list[str]) -> DataFrame:
+    """Postings without those of some keys. Up to DEAD_ROWS keys are broadcast, so that the postings stay where they are."""
+    return posts.join(F.broadcast(dead) if dead.count() <= DEAD_ROWS else dead, on, "left_anti")
+
+
+def _alive(posts: DataFrame, dead: DataFrame | None) -> DataFrame:
+    if dead is None:
+        return posts
+    for on, keys in ((["rid", "sid"], dead.where("sid is not null")), (["rid"], dead.where("sid is null").select("rid"))):
+        posts = _without(posts, keys.distinct(), on)
+    return posts
+
+
 @dataclass(frozen=True)
 class TextIndex:
     """Postings over sections of documents, held in memory as a plan or under a path.
@@ -53,7 +140,9 @@ class TextIndex:
     Under a path: ``base-N`` and ``delta-N`` folders. A delta has the postings
     of replaced sections and the list of (rid, sid) it replaces; it counts once
     its postings are complete, so readers see whole updates only. Files are
-    sorted by term, so a term's row groups are found by their statistics.
+    sorted by term, so a term's pages are found by their statistics. Each save and
+    delta has a term in _SPREAD files at most, by the hash of term and document;
+    ``compact`` leaves postings where they are.
     """
 
     postings: DataFrame
@@ -96,11 +185,14 @@ class TextIndex:
         return TextIndex.open(self.spark, path, self.compat)
 
     @staticmethod
-    def _write(at: str, posts: DataFrame, docs: DataFrame, dead: DataFrame | None = None) -> None:
+    def _write(at: str, posts: DataFrame, docs: DataFrame, dead: DataFrame | None = None, placed: bool = False) -> None:
+        """``placed``: postings read from files of an index, which are sorted anew where they are."""
         docs.write.parquet(f"{at}/docs")
         if dead is not None:
             dead.write.parquet(f"{at}/dead")
-        posts.repartitionByRange("term").sortWithinPartitions("term", "rid", "sid").write.parquet(f"{at}/postings")
+        if not placed:
+            posts = posts.repartition("term", F.pmod(F.hash("rid"), F.lit(_SPREAD)))
+        posts.sortWithinPartitions("term", "rid", "sid").write.parquet(f"{at}/postings")
 
     @staticmethod
     def open(spark: SparkSession, path: str, compat: Compat = DEFAULT, analyse: object = None) -> TextIndex:
@@ -113,15 +205,16 @@ class TextIndex:
         read = lambda n, t: spark.read.parquet(f"{path}/{n}/{t}").withColumn("version", F.lit(int(n.split("-")[1])))
         posts, docs = read(base, "postings"), read(base, "docs")
         if deltas:
-            dead = None
-            for n in deltas:
-                posts, docs = posts.unionByName(read(n, "postings")), docs.unionByName(read(n, "docs"))
-                dead = read(n, "dead") if dead is None else dead.unionByName(read(n, "dead"))
-            # a null sid replaces all sections of a document
-            by_section = dead.where("sid is not null").groupBy("rid", "sid").agg(F.max("version").alias("vs_"))
-            by_doc = dead.where("sid is null").groupBy("rid").agg(F.max("version").alias("vd_"))
-            live = (F.col("version") >= F.coalesce("vs_", F.lit(-1))) & (F.col("version") >= F.coalesce("vd_", F.lit(-1)))
-            posts = posts.join(by_section, ["rid", "sid"], "left").join(by_doc, "rid", "left").where(live)
+            # each version loses what later ones replace; a null sid replaces all sections of a document
+            parts, dead = [], None
+            for n in reversed(deltas):
+                parts.append(_alive(read(n, "postings"), dead))
+                mine = spark.read.parquet(f"{path}/{n}/dead")
+                dead = mine if dead is None else dead.unionByName(mine)
+                docs = docs.unionByName(read(n, "docs"))
+            posts = _alive(posts, dead)
+            for part in parts:
+                posts = posts.unionByName(part)
             docs = docs.groupBy("rid").agg(F.max_by("deleted", "version").alias("deleted"), F.max_by("gone", "version").alias("gone")) if "gone" in docs.columns else docs.groupBy("rid").agg(F.max_by("deleted", "version").alias("deleted"))
         posts = posts.select("term", "rid", "sid", "tf", "wsum", "positions")
         return TextIndex(posts, docs.select("rid", "deleted"), Tokenizer(**meta, analyse=analyse, compat=compat), compat, linked, path, n_sections)
@@ -160,12 +253,13 @@ class TextIndex:
         return replace(self, docs=self.docs.join(mark, "rid", "left").select("rid", (F.col("deleted") | F.coalesce("mark_", F.lit(False))).alias("deleted")))
 
     def live(self) -> TextIndex:
-        return replace(self, postings=self.postings.join(self.docs.where("deleted"), "rid", "left_anti"))
+        gone = self.docs.where("deleted").select("rid")
+        return replace(self, postings=self.postings.join(gone, "rid", "left_anti") if self.path is None else _without(self.postings, gone, ["rid"]))
 
     def compact(self) -> TextIndex:
         """Merges all deltas into a new base, without what is deleted; readers of the old one aren't disturbed."""
         live = self.live()
-        self._write(f"{self.path}/base-{self._next():06d}", live.postings, live.docs.where("not deleted"))
+        self._write(f"{self.path}/base-{self._next():06d}", live.postings, live.docs.where("not deleted"), placed=True)
         return TextIndex.open(self.spark, self.path, self.compat, self.tokenizer.analyse)
 
     def rename(self, path: str) -> TextIndex:
@@ -179,7 +273,8 @@ class TextIndex:
 
     def lexicon(self) -> DataFrame:
         """(term, df, cf, n_chars): documents and occurrences of each term."""
-        return self.postings.groupBy("term").agg(F.count_distinct("rid").alias("df"), F.sum("tf").cast("long").alias("cf")).withColumn("n_chars", F.length("term"))
+        n_docs = F.count("*") if self.n_sections == 1 else F.count_distinct("rid")  # one section: a posting per document
+        return self.postings.groupBy("term").agg(n_docs.alias("df"), F.sum("tf").cast("long").alias("cf")).withColumn("n_chars", F.length("term"))
 
     def scan(self, term: str) -> DataFrame:
         """One term's postings in order."""
