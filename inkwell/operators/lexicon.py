@@ -5,17 +5,19 @@ A key table is a DataFrame (id long, key string[, pocket int]).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.functions.text import byte_offsets, normalize_text, normalize_with_offsets
+from inkwell.functions.text import byte_offsets, mapped_apart, normalize_text, normalize_with_offsets
 from inkwell.sources.store import prepare_active
 
 #: Keys up to which a dictionary is sent to the workers whole; beyond, texts are cut and joined.
 DICTIONARY_KEYS = 1_000_000
+PATTERN_KEYS = 1000  # keys up to which a dictionary is one regular expression
 POCKET_MAX = 0x3FFF
 
 
@@ -127,13 +129,31 @@ class _Trie:
             if n:
                 self.ids[n] = min(k, self.ids.get(n, k))
                 self.prefixes.update(n[:i] for i in range(1, len(n) + 1))
+        self.first = {p for p in self.prefixes if len(p) == 1}
+        longest = sorted(self.ids, key=len, reverse=True)
+        self.pattern = re.compile("|".join(map(re.escape, longest)), re.DOTALL) if 0 < len(longest) <= PATTERN_KEYS else None
+
+    def _matches(self, s: str) -> list[tuple[int, int]]:
+        """Hits of the few keys of a dictionary: from the left, the longest first."""
+        return [m.span() for m in self.pattern.finditer(s)]
 
     def scan(self, text: str, normalized: bool) -> list[tuple[str, int, int]]:
+        if self.pattern is not None:
+            s = mapped_apart(text) if normalized else text
+            if s is not None:
+                got = self._matches(s)
+                if not got or len(s) == len(text) and not normalized:
+                    starts, ends = range(len(s)), range(1, len(s) + 1)
+                else:
+                    _, starts, ends, _ = normalize_with_offsets(text, raw=not normalized)
+                at = byte_offsets(text) if got else ()
+                return [(self.ids[s[a:b]], at[starts[a]], at[ends[b - 1]] - at[starts[a]]) for a, b in got]
         chars, starts, ends, _ = normalize_with_offsets(text, raw=not normalized)
         s, i, out, at = "".join(chars), 0, [], byte_offsets(text)
-        first = {p for p in self.prefixes if len(p) == 1}
+        if self.pattern is not None:
+            return [(self.ids[s[a:b]], at[starts[a]], at[ends[b - 1]] - at[starts[a]]) for a, b in self._matches(s)]
         while i < len(s):
-            if chars[i] not in first:
+            if chars[i] not in self.first:
                 i += 1
                 continue
             best, j = 0, i + 1
